@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op4_packing
+from .sharding import SQL as SHARDING_SQL
+from .sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_sharding": op9_sharding,
     "op4_packing": op4_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_sharding": SHARDING_SQL,
+}
