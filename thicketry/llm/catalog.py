@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op4_packing
 from .sharding import SQL as SHARDING_SQL
 from .sharding import op9_sharding
+from .tokenfile import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op9_sharding": op9_sharding,
     "op4_packing": op4_packing,
 }
