@@ -10,8 +10,10 @@ from .packing import op4_packing
 from .sharding import SQL as SHARDING_SQL
 from .sharding import op9_sharding
 from .tokenfile import op1_token_files
+from .digest import op7_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_digest": op7_digest,
     "op1_token_files": op1_token_files,
     "op9_sharding": op9_sharding,
     "op4_packing": op4_packing,
