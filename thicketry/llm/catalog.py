@@ -11,8 +11,10 @@ from .sharding import SQL as SHARDING_SQL
 from .sharding import op9_sharding
 from .tokenfile import op1_token_files
 from .digest import op7_digest
+from .langid import op2_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op7_digest": op7_digest,
     "op1_token_files": op1_token_files,
     "op9_sharding": op9_sharding,
