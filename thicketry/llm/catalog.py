@@ -12,8 +12,10 @@ from .sharding import op9_sharding
 from .tokenfile import op1_token_files
 from .digest import op7_digest
 from .langid import op2_language_id
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_toxicity": op10_toxicity,
     "op2_language_id": op2_language_id,
     "op7_digest": op7_digest,
     "op1_token_files": op1_token_files,
