@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytebpe import op3_byte_bpe
 from .packing import op4_packing
 from .sharding import SQL as SHARDING_SQL
 from .sharding import op9_sharding
@@ -15,6 +16,7 @@ from .langid import op2_language_id
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op2_language_id": op2_language_id,
     "op7_digest": op7_digest,
