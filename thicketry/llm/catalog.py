@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_nearest
 from .bytebpe import op3_byte_bpe
 from .packing import op4_packing
 from .sharding import SQL as SHARDING_SQL
@@ -16,6 +17,7 @@ from .langid import op2_language_id
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_nearest": op6_nearest,
     "op3_byte_bpe": op3_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op2_language_id": op2_language_id,
