@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int | No
 
         for part in common.chunks(batches):
             rows: list[tuple] = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(part.column("text"))):
                 ids += tail
                 total = len(ids) // size
                 full = total // window * window

@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, length: int = LEN
             out = None
 
         for part in common.chunks(batches):
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(part.column("text"))):
                 if out is None:
                     uri = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}-{len(rows):04d}.arrows"
                     out = SequenceWriter(uri, enc.dtype, length)

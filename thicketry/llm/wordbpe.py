@@ -1,8 +1,8 @@
 """Ids of the tokenizers library for whole texts, with each distinct word encoded once per worker.
 
 The vocabulary file splits at white space before anything else looks at the text, so the ids of a text are the
-ids of its space-separated chunks, one after the other. A bounded dictionary keeps the ids of chunks seen
-before; only new chunks reach the library. Chunks of plain Latin letters, digits and signs go to the file's own
+ids of its space-separated chunks, one after the other. A bounded table keeps the ids of chunks seen before, by
+their hashes; only new chunks reach the library. Chunks of plain Latin letters, digits and signs go to the file's own
 BPE model in long joined strings (the library's per-call costs are most of its time); every other chunk goes
 through the library's whole pipeline.
 """
@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from . import words
+from .common import bytes_of
+from .idcache import IdCache
+
 #: The split pattern that the word-level vocabulary file states; the shortcut holds for it alone.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -25,7 +29,7 @@ _PIECES = regex.compile(WORD_PATTERN)
 _LOADED: dict[tuple[str, int], "WordEncoder"] = {}
 
 
-def encoder(path: str, capacity: int = 500_000) -> "WordEncoder":
+def encoder(path: str, capacity: int = 2_000_000) -> "WordEncoder":
     """The worker's encoder for a file: loaded once, its cache kept between tasks."""
     if (path, capacity) not in _LOADED:
         _LOADED[path, capacity] = WordEncoder(path, capacity)
@@ -35,7 +39,7 @@ def encoder(path: str, capacity: int = 500_000) -> "WordEncoder":
 class WordEncoder:
     """Encodes texts by a tokenizers file without special tokens; strings that look like special tokens are ordinary text."""
 
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, capacity: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -43,9 +47,7 @@ class WordEncoder:
         self.whole.encode_special_tokens = True
         self.vocab_size = self.whole.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
-        self.capacity = capacity
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = IdCache(capacity, self.dtype)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.cached = self._splits_at_space(spec)
@@ -73,58 +75,46 @@ class WordEncoder:
             and bool(spec["model"].get("end_of_word_suffix"))
         )
 
-    def encode_batch(self, texts: Sequence[str]) -> list[bytes]:
-        """For each text its ids as little-endian words of self.dtype."""
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """For each text of a string array (no nulls) its ids as little-endian words of self.dtype."""
         if not self.cached:
-            found = self.whole.encode_batch_fast(list(texts), add_special_tokens=False)
+            found = self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.asarray(e.ids, self.dtype).tobytes() for e in found]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for words in split:
-            wanted.update(words)
-        young, old = self.young, self.old
-        missing = wanted.difference(young)
-        if old and missing:
-            for w in missing & old.keys():
-                young[w] = old[w]
-            missing.difference_update(old)
-        if missing:
-            self._learn(missing)
-        get = young.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(young) > self.capacity // 2:  # two generations: what is still used moves on, the rest goes
-            self.old, self.young = young, {}
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        young, size = self.young, self.dtype.itemsize
-        plain: list[str] = []
-        counts: list[int] = []
-        pieces: list[str] = []
-        odd: list[str] = []
-        for w in missing:
-            if not w:
-                young[w] = b""
-            elif _PLAIN.fullmatch(w):
-                found = _PIECES.findall(w.lower())
-                plain.append(w)
-                counts.append(len(found))
-                pieces += found
-            else:
-                odd.append(w)
-        if plain:
-            step = 256
-            joined = [" ".join(pieces[i : i + step]) for i in range(0, len(pieces), step)]
-            ids = np.concatenate([np.asarray(e.ids, self.dtype) for e in self.light.encode_batch_fast(joined, add_special_tokens=False)] or [np.zeros(0, self.dtype)])
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(pieces):
-                raw = ids.tobytes()
-                ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * size
-                marks = ends.tolist()
-                for w, a, b in zip(plain, marks, marks[1:]):
-                    young[w] = raw[a:b]
-            else:
-                odd += plain
-        if odd:
-            for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False)):
-                young[w] = np.asarray(e.ids, self.dtype).tobytes()
+        data, ends = bytes_of(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        start, stop = words.word_spans(data, ends, words.SPACED[data])
+        hashes = words.span_hashes(words.RAW[data], start, stop)
+        entries = self.cache.find(hashes)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            if self.cache.full(len(distinct)):
+                self.cache.clear()
+                new = np.arange(len(hashes))
+                distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            chunks = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[new[first]].tolist(), stop[new[first]].tolist())]
+            entries[new] = self.cache.n + back
+            self.cache.add(distinct, *self._learn(chunks))
+        ids, places = self.cache.gather(entries)
+        cuts = places[np.searchsorted(start, ends)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks one after the other, their counts)."""
+        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
+        found = [_PIECES.findall(c.lower()) if p else [] for c, p in zip(chunks, plain)]
+        pieces = [x for f in found for x in f]
+        step = 256
+        joined = [" ".join(pieces[i : i + step]) for i in range(0, len(pieces), step)]
+        ids = np.concatenate([np.asarray(e.ids, self.dtype) for e in self.light.encode_batch_fast(joined, add_special_tokens=False)] or [np.zeros(0, self.dtype)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(pieces):  # a piece without an end of its own: the library's whole pipeline decides
+            plain, ids, ends, found = [False] * len(chunks), ids[:0], ends[:0], [[]] * len(chunks)
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(f) for f in found])])]
+        if all(plain):
+            return ids, np.diff(ends)
+        odd = iter(self.whole.encode_batch_fast([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False))
+        parts = [ids[a:b] if p else np.asarray(next(odd).ids, self.dtype) for p, a, b in zip(plain, ends.tolist(), ends[1:].tolist())]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
