@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op6_nearest
 from .bytebpe import op3_byte_bpe
 from .packing import op4_packing
+from .passages import op5_passages
 from .setjoin import op8_ngram_join
 from .sharding import SQL as SHARDING_SQL
 from .sharding import op9_sharding
@@ -18,6 +19,7 @@ from .langid import op2_language_id
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_passages": op5_passages,
     "op8_ngram_join": op8_ngram_join,
     "op6_nearest": op6_nearest,
     "op3_byte_bpe": op3_byte_bpe,
