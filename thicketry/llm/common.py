@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,25 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             first = last
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns untouched, for whose text (null as empty) `keep` says so. Runs where the rows lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col) if at is None else at
+            texts = pc.fill_null(batch.column(at), "")
+            first = 0
+            for part in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
+                mask = keep(part.column("text"))
+                whole = batch.slice(first, part.num_rows)
+                first += part.num_rows
+                if mask.any():
+                    yield whole if mask.all() else whole.filter(pa.array(mask))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def byte_offsets(column: pa.Array) -> np.ndarray:
     """n + 1 offsets of a string or binary array into its data buffer."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

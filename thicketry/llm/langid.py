@@ -139,6 +139,34 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
     return out
 
 
+def _best(texts: pa.Array, names: list[str], matrix: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(texts)
+    lang, score = np.full(n, "und", object), np.zeros(n)
+    if names:
+        x, totals = vectors(texts, letters)
+        cosines = (x @ matrix.T) / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+        best = cosines.argmax(1)
+        known = totals > 0
+        lang[known] = np.array(names, object)[best[known]]
+        score[known] = np.clip(cosines[np.arange(n), best][known], 0, 1)
+    return lang, score
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0, seed: int = SEED, text_col: str = "text") -> DataFrame:
+    """The documents with a language, at a score over `least`; all columns as they were. Those without a letter go."""
+    names = sorted(prototypes)
+    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else None
+    held: list[np.ndarray] = []
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        if names and not held:
+            held.append(letter_vectors(matrix.shape[1], seed))
+        lang, score = _best(texts, names, matrix, held[0] if held else None)
+        return (lang != "und") & (score > least)
+
+    return common.kept_rows(docs, keep, text_col)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score: one row a document. The prototypes (languages times dimensions) go with the tasks.
 
@@ -151,15 +179,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = SEED
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors(matrix.shape[1], seed) if names else None
         for part in common.chunks(batches):
-            n = part.num_rows
-            lang, score = np.full(n, "und", object), np.zeros(n)
-            if names:
-                x, totals = vectors(part.column("text"), letters)
-                cosines = (x @ matrix.T) / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-                best = cosines.argmax(1)
-                known = totals > 0
-                lang[known] = np.array(names, object)[best[known]]
-                score[known] = np.clip(cosines[np.arange(n), best][known], 0, 1)
+            lang, score = _best(part.column("text"), names, matrix, letters)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -301,5 +301,12 @@ def join(docs: DataFrame, size: int = WORDS, threshold: tuple[int, int] = THRESH
     return out.unionByName(none)
 
 
+def representatives(docs: DataFrame, size: int, threshold: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that of the least id; the same columns. Documents without shingles or without an
+    id stay. Of rows with one id, which name one document, one stays."""
+    first = join(docs, size, threshold, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -109,17 +109,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     return Model(float(weight[~own].sum()), feature[own], weight[own], bits)
 
 
+def _scores(texts: pa.Array, dense: np.ndarray, model: Model) -> np.ndarray:
+    doc, found = features(texts, model.bits)
+    hit = dense[found] != 0
+    both = np.unique(doc[hit].astype(np.int64) << 32 | found[hit])
+    sums = np.bincount(both >> 32, dense[both & 0xFFFFFFFF], len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
+def accepted(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score below the limit, all columns as they were."""
+    held: list[np.ndarray] = []
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        if not held:
+            held.append(model.dense())
+        return _scores(texts, held[0], model) < limit
+
+    return common.kept_rows(docs, keep, text_col)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1): one row a document. Null and empty texts have the bias alone. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()
         for part in common.chunks(batches):
-            doc, found = features(part.column("text"), model.bits)
-            hit = dense[found] != 0
-            both = np.unique(doc[hit].astype(np.int64) << 32 | found[hit])
-            sums = np.bincount(both >> 32, dense[both & 0xFFFFFFFF], part.num_rows) + model.bias
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_scores(part.column("text"), dense, model))], ["doc_id", "score"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
