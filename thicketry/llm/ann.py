@@ -2,8 +2,9 @@
 
 Vectors lie in blocks of BLOCK rows. A block's forest has TREES trees, each a sorted array of bit strings (signs of random
 projections). A query descends every tree to its longest matching prefix, then ascends all trees together, level
-by level: at each level a tree's rows with the query's prefix are one run of its array. It stops at SHARE of the block's size in gathered rows (with
-repetitions among trees) and never cuts a run, so equal vectors come together. What is gathered is scored exactly.
+by level: at each level a tree's rows with the query's prefix are one run of its array. It stops once SHARE of the
+block's size, and at least LEAST, rows are gathered, counted with repetitions among trees, and never cuts a run, so
+equal vectors come together. What is gathered is scored exactly.
 
 Inner products become angles by one more coordinate, sqrt(longest**2 - length**2), which queries have as 0.
 
@@ -29,6 +30,8 @@ QUERY_BLOCK = 1024
 TREES = 96
 BITS = 20
 SHARE = 0.5
+#: Rows gathered at least, with repetitions: in small blocks the nearest rows are farther off.
+LEAST = 6000
 SEED = 11
 
 
@@ -66,7 +69,7 @@ class Forest:
                     break
         sums = (last - first).sum(1, dtype=np.int64)  # depth x query
         for q in range(m):
-            deepest = int(np.flatnonzero(sums[:, q] >= min(wanted, n))[-1])
+            deepest = int(np.flatnonzero(sums[:, q] >= min(wanted, self.trees * n))[-1])
             below = (last[deepest + 1, :, q] - first[deepest + 1, :, q]).astype(np.int64) if deepest < self.bits else np.zeros(self.trees, np.int64)
             here = (last[deepest, :, q] - first[deepest, :, q]).astype(np.int64)
             # the trees that ascend to this level, so that what they and the others have reaches `wanted`
@@ -158,7 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
                 ids, forest = kept[1:]
                 q_ids, q = get("q_ids", np.int64), get("q_data", np.float64).reshape(-1, dims)
                 out_q, out_r, out_s = [], [], []
-                for one, own, found in zip(q, q_ids, forest.candidates(q, max(4 * k, int(share * len(ids))))):
+                for one, own, found in zip(q, q_ids, forest.candidates(q, max(LEAST, 4 * k, int(share * len(ids))))):
                     scores = (forest.rows[found] * one).sum(1)  # row by row in the same order: equal vectors, equal scores
                     who = ids[found]
                     fine = (who != own) & np.isfinite(scores)
