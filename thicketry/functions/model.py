@@ -61,19 +61,28 @@ def name_of(path: Column) -> Column:
 
 
 def depth_of(path: Column) -> Column:
-    return F.size(F.split(path, "/", -1)) - 1
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def below_root(path: Column) -> Column:
+    """Path without the root's name; '' for a root."""
+    at = F.instr(path, "/")
+    return F.when(at > 0, path.substr(at + 1, F.length(path))).otherwise(F.lit(""))
+
+
+# Names may hold bytes that are not UTF-8. Regexes and split() would replace them; what is used here works on bytes.
 
 
 def components(path: Column) -> Column:
     """Path as an array, which sorts component by component (plain strings sort '-' before '/')."""
-    return F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(1), depth_of(path) + 1), lambda k: F.split_part(path, F.lit("/"), k))
 
 
 def ancestors(path: Column, own: bool = False) -> Column:
     """Array of the paths of all ancestors from the root down, with the node's own path at the end if asked for."""
-    parts = components(path)
-    count = F.size(parts) if own else F.size(parts) - 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
+    count = depth_of(path) + 1 if own else depth_of(path)
+    made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.call_function("substring_index", path, F.lit("/"), k))
+    return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
 
 
 def annex_digest(name: Column, full: bool = False) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import model as M
+from ..plans.materialize import materialized
 from .edit import add_subtree, remove_subtree
 
 
 def relative(path: Column = None) -> Column:
     """Path below the root's name; '' for the root."""
-    path = F.col("path") if path is None else path
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"^[^/]*/", "")).otherwise(F.lit(""))
+    return M.below_root(F.col("path") if path is None else path)
 
 
 def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     A removal and an addition of equal top nodes (type, name, hash, size, time) are a move; equal ones pair in path order, one to one.
     """
-    found = changes(old, new)
+    found = materialized(changes(old, new), "changes")  # read several times below
     key = ["type", "name", "hash", "nbytes", "mtime"]
 
     def turn(op: str, side: str, out: str) -> DataFrame:
@@ -99,6 +99,7 @@ def apply(old: DataFrame, deltas: DataFrame, new: DataFrame) -> DataFrame:
     a path to be removed is not there.
     """
     root = old.where("depth = 0").select("name").first()[0]
+    deltas = materialized(deltas, "deltas")
     gone = deltas.where("op in ('rm', 'mv', 'edit')").select("path")
     here = old.select(relative().alias("path"))
     if missing := gone.join(here, "path", "left_anti").take(1):

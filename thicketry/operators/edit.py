@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import model as M
+from ..plans.materialize import materialized
 from .rollup import build, to_entries
 
 
 def _relative():
-    return F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"^[^/]*/", "")).otherwise(F.lit(""))
+    return M.below_root(F.col("path"))
 
 
 def _under(rows: DataFrame, tops: DataFrame, how: str) -> DataFrame:
@@ -36,7 +37,8 @@ def add_subtree(rows: DataFrame, source: DataFrame, tops: DataFrame, root: str)
         raise ValueError("a subtree needs a path below the root")
     old = _under(rows.withColumn("rel", _relative()), tops, "left_anti").drop("rel")
     more = _under(to_entries(source).withColumn("rel", _relative()), tops, "left_semi")
-    placed = more.withColumn("path", F.concat(F.lit(f"{root}/"), F.col("rel"))).drop("rel")
+    placed = materialized(more.withColumn("path", F.concat(F.lit(f"{root}/"), F.col("rel"))).drop("rel"), "placed")
+    old = materialized(old, "kept")
     above = placed.select(F.explode(M.ancestors(F.col("path"))).alias("path")).distinct()
     if blocked := old.where("type <> 'D'").join(above, "path", "left_semi").take(1):
         raise ValueError(f"not a directory: {blocked[0]['path']}")
@@ -46,7 +48,7 @@ def add_subtree(rows: DataFrame, source: DataFrame, tops: DataFrame, root: str)
 def insert(nodes: DataFrame, sub: DataFrame, at: str) -> DataFrame:
     """The tree with another tree placed at a relative path, its root taking the path's last name."""
     root = nodes.where("depth = 0").select("name").first()[0]
-    moved = to_entries(sub).withColumn("path", F.concat(F.lit(f"{root}/{at}"), F.regexp_replace("path", r"^[^/]*", "")))
+    moved = to_entries(sub).withColumn("depth_", M.depth_of(F.col("path"))).withColumn("path", F.when(F.col("depth_") > 0, F.concat(F.lit(f"{root}/{at}/"), M.below_root(F.col("path")))).otherwise(F.lit(f"{root}/{at}"))).drop("depth_")
     tops = nodes.sparkSession.createDataFrame([(at,)], "path string")
     if not at:
         raise ValueError("a subtree needs a path below the root")

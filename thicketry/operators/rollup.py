@@ -104,12 +104,12 @@ def exclude(rows: DataFrame, patterns: list[str], root_depth: int = 0) -> DataFr
     if not patterns:
         return rows
     either = "|".join(f"(?:{p})" for p in patterns)
-    lines = F.filter(M.ancestors(F.col("path"), own=True), lambda p: F.size(F.split(p, "/", -1)) > root_depth + 1)
+    lines = F.filter(M.ancestors(F.col("path"), own=True), lambda p: M.depth_of(p) > root_depth)
     return rows.where(~F.exists(lines, lambda p: F.regexp_like(p, F.lit(f"(?m){either}"))))
 
 
 def rename_root(nodes: DataFrame, name: str) -> DataFrame:
-    cut = lambda c: F.concat(F.lit(name), F.regexp_replace(c, r"^[^/]*", ""))
+    cut = lambda c: F.when(F.instr(c, "/") > 0, F.concat(F.lit(name + "/"), M.below_root(c))).when(c.isNotNull(), F.lit(name))
     return nodes.select(*[cut(F.col(c)).alias(c) if c in ("path", "parent") else F.when(F.col("depth") == 0, F.lit(name)).otherwise(F.col("name")).alias("name") if c == "name" else F.col(c) for c in nodes.columns])
 
 

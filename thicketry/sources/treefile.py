@@ -66,7 +66,7 @@ def serialize(nodes: DataFrame) -> bytes:
 def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """tree (file), seq, and the fields of every row, in no order but seq; a row that can't be read fails the job."""
     raw = spark.read.option("lineSep", "\0\n").text([files.uri(p) for p in paths])
-    raw = raw.select(F.input_file_name().alias("tree"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"^(?:#[^\n]*\n)+", "").alias("row"))
+    raw = raw.select(F.input_file_name().alias("tree"), F.monotonically_increasing_id().alias("seq"), F.when(F.col("value").startswith("#"), F.regexp_replace("value", r"^(?:#[^\n]*\n)+", "")).otherwise(F.col("value")).alias("row"))
     return parse_rows(raw.where("row <> ''"))
 
 
@@ -74,7 +74,9 @@ def parse_rows(raw: DataFrame) -> DataFrame:
     """Fields of `row`, other columns kept."""
     parts, short = F.split("row", "\t", 7), F.split("row", "\t", 4)
     error = F.substring("row", 1, 1) == "E"
-    rest = F.get(parts, F.lit(6))
+    # names and targets are cut out by bytes: they need not be UTF-8
+    after = lambda text, head: text.substr(F.length(head) + 2, F.length(text))
+    rest = after(F.col("row"), F.substring_index("row", "\t", 6))
     cut = F.instr(rest, "\0")
     good = F.when(error, F.size(short) == 4).otherwise(F.col("row").rlike(r"^[DFLB]\t-?\d+\t[^\t]+\t-?\d+\t-?\d+\t-?\d+\t"))
     checked = F.when(good, F.get(short, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("not a tree row: "), F.substring("row", 1, 200))))
@@ -87,7 +89,7 @@ def parse_rows(raw: DataFrame) -> DataFrame:
         F.coalesce(number(3), F.lit(0)).alias("mtime"),
         F.coalesce(number(4), F.lit(0)).alias("nbytes"),
         F.coalesce(number(5), F.lit(1)).alias("nnodes"),
-        F.when(error, F.get(short, F.lit(3))).when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest).alias("name"),
+        F.when(error, after(F.col("row"), F.substring_index("row", "\t", 3))).otherwise(F.substring_index(rest, "\0", 1)).alias("name"),
         F.when(~error & (cut > 0), rest.substr(cut + 2, F.length(rest))).alias("link_target"),
         F.when(error, F.regexp_replace(F.get(short, F.lit(2)), '^"|"$', "")).alias("err_msg"),
     )
