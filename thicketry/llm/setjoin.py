@@ -10,7 +10,7 @@ A document's set holds the hashes of its word shingles. Documents with equal set
 3. Components of the chains are candidate clusters. Whole sets are fetched for their nodes alone, and each cluster is
    searched by T-occurrence with DivideSkip: the short inverted lists of a document's shingles are merged, its long ones are
    probed by binary search for what the merge left, and documents that reach the required overlap are linked. Clusters too large for a task
-   are cut into blocks which meet pairwise.
+   are cut by size, and what is still too large into blocks which meet pairwise.
 
 Nodes are 64-bit digests of whole sets: among 10**8 different sets two share one with a chance of 3 in 10**4.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -31,8 +31,8 @@ from .components import components
 WORDS = 3
 #: Similarity as a fraction, kept in whole numbers.
 THRESHOLD = (90, 100)
-#: Counters of the sketch; 4 bytes each. Collisions only disturb the order.
-SKETCH_BITS = 20
+#: Counters of the sketch, 4 bytes each (2 from each task). Collisions only disturb the order.
+SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 13
 #: Shingles of a cluster that one task searches at once, 8 bytes each.
 CLUSTER = 3_000_000
@@ -147,7 +147,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
         if sketch.any():
             blocks = range(0, len(sketch), SKETCH_BLOCK)
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b // SKETCH_BLOCK for b in blocks], pa.int64()), pa.array([sketch[b : b + SKETCH_BLOCK].tobytes() for b in blocks], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b // SKETCH_BLOCK for b in blocks], pa.int64()), pa.array([np.minimum(sketch[b : b + SKETCH_BLOCK], 0xFFFF).astype(np.uint16).tobytes() for b in blocks], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "kind int, doc_id long, node long, n_shingles long, counters binary")
 
@@ -158,8 +158,8 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     def add(groups: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_BLOCK, np.uint32)
         for c in groups["counters"].to_pylist():
-            x = np.frombuffer(c, np.uint32)
-            total = np.where(total > ~x, np.uint32(0xFFFFFFFF), total + x)
+            x = np.frombuffer(c, np.uint16)
+            total = np.minimum(total.astype(np.uint64) + x, 0xFFFFFFFF).astype(np.uint32)
         return pa.table({"n_shingles": groups["n_shingles"][:1], "counters": pa.array([total.tobytes()], pa.binary())})
 
     blocks = profile.where("kind = 1").select("n_shingles", "counters").groupBy("n_shingles").applyInArrow(add, "n_shingles long, counters binary").toArrow()
@@ -221,10 +221,34 @@ def _bitmap(nodes: DataFrame, bits: int = 23) -> np.ndarray:
     return out
 
 
-def _links(docs: DataFrame, clusters: DataFrame, size: int, t: tuple[int, int], limit: int) -> tuple[DataFrame, bool]:
-    """Edges (a, b) between linked nodes that connect what is linked; whether one task saw each cluster whole."""
+def _deal(clusters: DataFrame, nodes: DataFrame, t: tuple[int, int], limit: int) -> DataFrame:
+    """node, component, part, i, j, side: where each node of a cluster is searched.
+
+    Sets alike lie in one or in neighbouring classes of size (a factor of 1/t each). A cluster's classes, in order, form parts of
+    about `limit` shingles; the last class of a part also visits the next one. A part that is larger still is cut into blocks by hash, and blocks meet
+    pairwise. Only numbers move here, one row a node.
+    """
+    width = float(np.log(t[1] / t[0]) * 1.0001)
+    own = clusters.join(nodes.select("node", F.col("n_shingles").alias("n")).distinct(), "node").withColumn("class", F.floor(F.log("n") / width).cast("int"))
+    own = common.written(own, "cluster-nodes")
+    weights = own.groupBy("component", "class").agg(F.sum("n").alias("weight"))
+    before = Window.partitionBy("component").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # a row a class
+    parts = weights.withColumn("part", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / limit).cast("int"))
+    after = parts.select("component", (F.col("class") - 1).alias("class"), F.col("part").alias("next"))
+    parts = parts.join(after, ["component", "class"], "left").withColumn("parts", F.when(F.col("next") != F.col("part"), F.array("part", "next")).otherwise(F.array("part")))
+    placed = own.join(parts.select("component", "class", "parts"), ["component", "class"]).select("node", "component", "n", F.explode("parts").alias("part"))
+    placed = common.written(placed, "cluster-parts")
+    blocks = placed.groupBy("component", "part").agg(F.ceil(F.sum("n") / limit).cast("int").alias("blocks"))
+    placed = placed.join(blocks, ["component", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return other.select("node", "component", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
+def _links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, size: int, t: tuple[int, int], limit: int) -> DataFrame:
+    """Edges (a, b) between linked nodes that connect what is linked."""
     bits = 23
     marks = docs.sparkSession.sparkContext.broadcast(_bitmap(clusters, bits))
+    deal = common.written(_deal(clusters, nodes, t, limit), "cluster-deal")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -235,20 +259,13 @@ def _links(docs: DataFrame, clusters: DataFrame, size: int, t: tuple[int, int],
                 low = node & ((1 << bits) - 1)
                 if len(own) and marks.value[low >> 5] >> np.uint32(low & 31) & np.uint32(1) and node not in seen:
                     seen.add(node)
-                    rows.append((node, len(own), own.tobytes()))
+                    rows.append((node, own.tobytes()))
             if rows:
-                node, n, own = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary())], ["node", "n", "own"])
-
-    sets = common.written(docs.select("text").mapInArrow(fetch, "node long, n long, own binary").join(clusters, "node"), "sets")
-    weight = sets.groupBy("component").agg(F.ceil(F.sum("n") / limit).cast("int").alias("blocks"))
-    weight = common.written(weight, "cluster-sizes")
-    whole = not weight.where("blocks > 1").take(1)
-    if whole:
-        dealt = sets.select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "own")
-    else:
-        own_block = sets.join(weight, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = own_block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "own")
+                node, own = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own, pa.binary())], ["node", "own"])
+
+    sets = docs.select("text").mapInArrow(fetch, "node long, own binary")
+    dealt = sets.join(deal, "node").select("component", "part", "i", "j", "side", "node", "own")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -257,7 +274,7 @@ def _links(docs: DataFrame, clusters: DataFrame, size: int, t: tuple[int, int],
             if len(held) < 2:
                 return None
             nodes = np.array(list(held), np.int64)
-            side = np.array([s for s, _ in held.values()]) if key[1] != key[2] else None
+            side = np.array([s for s, _ in held.values()]) if key[2] != key[3] else None
             first = search([x for _, x in held.values()], t, side)
             more = np.flatnonzero(first != np.arange(len(nodes)))
             if not len(more):
@@ -266,16 +283,17 @@ def _links(docs: DataFrame, clusters: DataFrame, size: int, t: tuple[int, int],
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                for c, i, j, side, node, own in zip(*(x.to_pylist() for x in batch.slice(at, 512).columns)):
-                    if (c, i, j) != key:
+                for c, part, i, j, side, node, own in zip(*(x.to_pylist() for x in batch.slice(at, 512).columns)):
+                    if (c, part, i, j) != key:
                         if (out := linked()) is not None:
                             yield out
-                        key, held = (c, i, j), {}
+                        key, held = (c, part, i, j), {}
                     held[node] = (side, np.frombuffer(own, np.uint64))
         if (out := linked()) is not None:
             yield out
 
-    return dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(find, "a long, b long"), whole
+    keys = ["component", "part", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(find, "a long, b long")
 
 
 def join(docs: DataFrame, size: int = WORDS, threshold: tuple[int, int] = THRESHOLD, limit: int = CLUSTER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,9 +308,8 @@ def join(docs: DataFrame, size: int = WORDS, threshold: tuple[int, int] = THRESH
     sketch = _sketch(profile)
     clusters = components(_chains(texts, sketch, size, threshold))
     clusters = common.written(clusters, "clusters")
-    edges, whole = _links(texts, clusters, size, threshold, limit)
-    joined = components(edges)
     nodes = profile.where("kind = 0").select("doc_id", "n_shingles", "node")
+    joined = components(_links(texts, clusters, nodes, size, threshold, limit))
     some = nodes.where("n_shingles > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     some = common.written(some, "nodes")
     least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
