@@ -2,8 +2,9 @@
 
 A document's set holds the hashes of its word shingles. Documents with equal sets are one node. The join is exact:
 
-1. One pass gives each document its node and, in a counting sketch of fixed size, how many documents have each shingle.
-2. All sets are ordered by (sketch count, hash), rarest first. Sets alike to the threshold share one of their first
+1. One pass gives each document its node and, in a counting sketch of fixed size, how many documents have each shingle;
+   another marks the shingles that more than one document has.
+2. All sets are ordered by (mark, sketch count, hash), rarest first; shingles of one document alone go nowhere. Sets alike to the threshold share one of their first
    |x| - ceil(t |x|) + 1 shingles, so only these are shuffled, as (shingle, node, size). Along each shingle's nodes,
    sorted by size, neighbours close enough in size are chained: as many rows as nodes, never all pairs. Common shingles come last in
    the order and so hardly ever appear here.
@@ -169,9 +170,55 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out
 
 
-def _chains(docs: DataFrame, sketch: np.ndarray, size: int, t: tuple[int, int]) -> DataFrame:
+def _shared(docs: DataFrame, size: int, total: int) -> np.ndarray:
+    """A mark for every shingle that two documents have, as bits: one for each shingle of the corpus, 128 MB at most.
+
+    Documents send 32 bits of each shingle to the range of its first bits; there equal ones are found. Marks set for
+    others by chance only cost rows later on, and a shingle without a mark is in one document alone.
+    """
+    bits = min(30, max(16, int(total).bit_length()))
+    lead = min(bits - 6, max(4, int(total >> 22).bit_length()))  # about four million shingles a range
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            every, counts = np.unique(np.concatenate(held), return_counts=True)
+            every = np.repeat(every, np.minimum(counts, 2))
+            cuts = np.searchsorted(every >> np.uint64(64 - lead), np.arange((1 << lead) + 1, dtype=np.uint64))
+            short = (every >> np.uint64(32 - lead)).astype(np.uint32)
+            used = np.flatnonzero(np.diff(cuts))
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([short[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())], ["lead", "prints"])
+
+        for part in common.chunks(batches):
+            held += shingle_sets(part.column("text"), size)
+            n += sum(map(len, held[-part.num_rows :]))
+            if n > 3_000_000:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    def mark(group: pa.Table) -> pa.Table:
+        every = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group["prints"].to_pylist()]))
+        twice = every[1:][every[1:] == every[:-1]] >> np.uint32(32 - (bits - lead))
+        own = np.zeros(1 << (bits - lead), bool)
+        own[twice] = True
+        return pa.table({"lead": group["lead"][:1], "marks": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(send, "lead int, prints binary").groupBy("lead").applyInArrow(mark, "lead int, marks binary").toArrow()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    step = 1 << (bits - lead - 3)
+    for k, x in zip(found["lead"].to_pylist(), found["marks"].to_pylist()):
+        out[k * step : (k + 1) * step] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def _chains(docs: DataFrame, sketch: np.ndarray, marks: np.ndarray, size: int, t: tuple[int, int]) -> DataFrame:
     """Edges (a, b) that hold every candidate cluster together."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    context = docs.sparkSession.sparkContext
+    shared, repeated = context.broadcast(sketch), context.broadcast(marks)
+    shift = np.uint64(64 - (len(marks).bit_length() + 2))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -182,7 +229,12 @@ def _chains(docs: DataFrame, sketch: np.ndarray, size: int, t: tuple[int, int])
                 if n and (node := node_of(own)) not in seen:
                     seen.add(node)
                     first = n + t[0] * n // -t[1] + 1
-                    if first < n:
+                    spot = (own >> shift).astype(np.int64)
+                    own = own[(repeated.value[spot >> 3] >> (spot & 7).astype(np.uint8) & np.uint8(1)).astype(bool)]
+                    first -= n - len(own)  # those of this document alone come first, and meet no other
+                    if first <= 0:
+                        continue
+                    if first < len(own):
                         counts = shared.value[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                         own = own[np.lexsort((own, counts))[:first]]
                     keys.append(own)
@@ -306,7 +358,9 @@ def join(docs: DataFrame, size: int = WORDS, threshold: tuple[int, int] = THRESH
     texts = common.id_text(docs, id_col, text_col)
     profile = common.written(_profile(texts, size), "profile")
     sketch = _sketch(profile)
-    clusters = components(_chains(texts, sketch, size, threshold))
+    total = profile.where("kind = 0").agg(F.sum("n_shingles")).first()[0] or 0
+    marks = _shared(texts, size, total)
+    clusters = components(_chains(texts, sketch, marks, size, threshold))
     clusters = common.written(clusters, "clusters")
     nodes = profile.where("kind = 0").select("doc_id", "n_shingles", "node")
     joined = components(_links(texts, clusters, nodes, size, threshold, limit))
