@@ -217,6 +217,25 @@ def test_passages_edges(edge, none, spark):
     assert sorted(map(tuple, passages.remove(copies).collect())) == [(1, text, 9), (3, "more", 4)]
 
 
+def test_passages_behind_boilerplate(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows, wanted = [], {}
+    for k in range(40):
+        common_part, before, after = some(rng.randint(44, 48)), some(rng.randint(0, 3)), some(rng.randint(6, 8))
+        for j in range(4):  # the first and the third hold the common part alone, the others the same words around it
+            own, more = some(80), j in (1, 3)
+            middle = before + common_part + after if more else common_part
+            at = rng.randint(0, 80)
+            rows.append((4 * k + j, " ".join(own[:at] + middle + own[at:])))
+            if j == 3:
+                wanted[4 * k + j] = (at, len(middle), 4 * k + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["start"], r["n_words"], r["source_id"]) for r in passages.repeats(df).collect()}
+    assert found == wanted
+
+
 # Shards
 
 
