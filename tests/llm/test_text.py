@@ -236,6 +236,24 @@ def test_passages_behind_boilerplate(spark):
     assert found == wanted
 
 
+@pytest.mark.parametrize("kind", ["changed", "inserted", "dropped"])
+def test_passages_with_one_edit_anywhere(spark, kind):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, wanted = [], {}
+    for n in (50, 54, 60):
+        for at in range(5, n - 5):
+            passage = [word() for _ in range(n + (kind == "dropped"))]
+            edit = passage[:at] + {"changed": [word()], "inserted": [word(), passage[at]], "dropped": []}[kind] + passage[at + 1 :]
+            i = len(rows)
+            for text in (passage, edit):
+                rows.append((len(rows), " ".join([word() for _ in range(60)] + text + [word() for _ in range(60)])))
+            wanted[i + 1] = (60, len(edit), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["start"], r["n_words"], r["source_id"]) for r in passages.repeats(df).collect()}
+    assert found == wanted
+
+
 # Shards
 
 
