@@ -15,7 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one of the corpus's languages is found; texts without letters, or like none of them, go."""
-    return langid.accepted(docs, langid.train(docs))
+    prototypes = langid.train(docs)
+    return langid.accepted(docs, prototypes, langid.least_scores(docs, prototypes))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

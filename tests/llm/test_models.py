@@ -50,6 +50,23 @@ def test_language_edges(spark, edge, none):
     assert {r["lang_pred"] for r in langid.predict(edge, {}).collect()} == {"und"}
 
 
+def test_accepted_languages_are_alike(spark):
+    import base64
+
+    docs = common.table(spark, SMALL, "documents")
+    prototypes = langid.train(docs)
+    least = langid.least_scores(docs, prototypes)
+    rng = np.random.default_rng(6)
+    letters = lambda low, high: "".join(chr(c) if rng.random() > 0.17 else " " for c in rng.integers(low, high, 600))
+    odd = [letters(97, 123) for _ in range(20)] + [base64.b64encode(rng.bytes(600)).decode() for _ in range(20)] + [letters(0x430, 0x450) for _ in range(20)] + [letters(0x4E00, 0x9FA5) for _ in range(20)]
+    assert langid.accepted(spark.createDataFrame([(t,) for t in odd], "text string"), prototypes, least).count() == 0
+    clean = docs.where("lang is not null and text rlike '[a-z]'")
+    assert langid.accepted(clean, prototypes, least).count() >= 0.99 * clean.count()
+    words = [r["text"] for r in docs.selectExpr("substring(text, 1, 40) text").where("text rlike '^[A-Z][a-z]+ [a-z]+ [a-z]+ '").collect()]
+    short = spark.createDataFrame([(t,) for t in words], "text string")
+    assert langid.accepted(short, prototypes, least).count() >= 0.95 * len(words)
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(0)
     rows = []

@@ -24,6 +24,11 @@ from . import common
 DIMENSIONS = 1024
 SLOTS = 64
 SEED = 7
+#: Classes of lengths, the rows a class needs to have a least score of its own, and which part of what quantile that is.
+SIZES = 32
+ENOUGH = 50
+QUANTILE = 0.01
+PART = 0.5
 
 _TABLE: np.ndarray | None = None
 
@@ -139,9 +144,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
     return out
 
 
-def _best(texts: pa.Array, names: list[str], matrix: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _best(texts: pa.Array, names: list[str], matrix: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's language, score and number of trigrams."""
     n = len(texts)
-    lang, score = np.full(n, "und", object), np.zeros(n)
+    lang, score, totals = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64)
     if names:
         x, totals = vectors(texts, letters)
         cosines = (x @ matrix.T) / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
@@ -149,20 +155,62 @@ def _best(texts: pa.Array, names: list[str], matrix: np.ndarray, letters: np.nda
         known = totals > 0
         lang[known] = np.array(names, object)[best[known]]
         score[known] = np.clip(cosines[np.arange(n), best][known], 0, 1)
-    return lang, score
+    return lang, score, totals
 
 
-def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """The documents with a language, at a score over `least`; all columns as they were. Those without a letter go."""
+def _size(totals: np.ndarray) -> np.ndarray:
+    """Class of a number of trigrams: its binary digits."""
+    return np.minimum(np.frexp(totals.astype(np.float64))[1], SIZES - 1)
+
+
+def least_scores(docs: DataFrame, prototypes: dict[str, np.ndarray], quantile: float = QUANTILE, part: float = PART, seed: int = SEED, lang_col: str = "lang", text_col: str = "text") -> np.ndarray:
+    """For each class of the number of trigrams the score that a text has to exceed, learned from all labelled rows.
+
+    It is `part` of the low `quantile` of the cosines that texts of about that length have with their own language. Classes
+    of fewer than ENOUGH rows use that of the next shorter one that has them (0 if there is none), as short texts score less.
+    What comes to the driver is bounded by classes times thousandths.
+    """
+    out = np.zeros(SIZES)
+    names = sorted(prototypes)
+    if not names:
+        return out
+    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32)
+    place = {k: i for i, k in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_vectors(matrix.shape[1], seed)
+        for rows in common.chunks(batches):
+            x, totals = vectors(rows.column("text"), letters)
+            own = np.array([place.get(k, -1) for k in rows.column("lang").to_pylist()])
+            cosines = (x * matrix[own]).sum(1) / np.maximum(np.linalg.norm(x, axis=1), 1e-9)
+            good = (own >= 0) & (totals > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(v[good].astype(np.int32)) for v in (_size(totals), np.floor(np.clip(cosines, 0, 1) * 1000))], ["size", "score"])
+
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    found = rows.mapInArrow(run, "size int, score int").groupBy("size", "score").count().toArrow()
+    size, score, count = (found[c].to_numpy() for c in ("size", "score", "count"))
+    for k in range(1, SIZES):
+        out[k] = out[k - 1]
+        mine = np.flatnonzero(size == k)
+        mine = mine[np.argsort(score[mine])]
+        sums = np.cumsum(count[mine])
+        if len(sums) and sums[-1] >= ENOUGH:
+            out[k] = part * score[mine][np.searchsorted(sums, quantile * sums[-1])] / 1000
+    return out
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float | np.ndarray = 0.0, seed: int = SEED, text_col: str = "text") -> DataFrame:
+    """The documents with a language, at a score over `least` (one number, or those of least_scores); all columns as they were. Those without a letter go."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else None
+    least = np.broadcast_to(least, SIZES)
     held: list[np.ndarray] = []
 
     def keep(texts: pa.Array) -> np.ndarray:
         if names and not held:
             held.append(letter_vectors(matrix.shape[1], seed))
-        lang, score = _best(texts, names, matrix, held[0] if held else None)
-        return (lang != "und") & (score > least)
+        lang, score, totals = _best(texts, names, matrix, held[0] if held else None)
+        return (lang != "und") & (score > least[_size(totals)])
 
     return common.kept_rows(docs, keep, text_col)
 
@@ -179,7 +227,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = SEED
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors(matrix.shape[1], seed) if names else None
         for part in common.chunks(batches):
-            lang, score = _best(part.column("text"), names, matrix, letters)
+            lang, score, _ = _best(part.column("text"), names, matrix, letters)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
