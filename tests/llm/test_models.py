@@ -148,6 +148,20 @@ def test_nearest_edges(spark):
     assert ann.search(few.where("false"), few.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("wobble", [0.0, 1e-6])
+def test_nearest_repeated_rows_take_no_places(spark, wobble):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    near = np.array(rows[0][1]) * 2
+    rows += [(100, (near + wobble * j).tolist()) for j in range(5000)]  # the nearest row, over and over
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found = {r["rank"]: r["vec_id"] for r in ann.search(df, df.where("vec_id = 0"), k=20).collect()}
+    first = {}
+    for i, v in rows:
+        first[i] = max(first.get(i, -np.inf), float(np.dot(v, rows[0][1])))
+    assert found == dict(enumerate(sorted((i for i in first if i), key=lambda i: -first[i])[:20], 1))
+
+
 @pytest.mark.parametrize("name", ["op2_language_id", "op10_toxicity"])
 def test_queries_keep_every_row(spark, name):
     from thicketry.llm.catalog import QUERIES

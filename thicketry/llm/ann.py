@@ -122,6 +122,32 @@ def _numbered(blocks: DataFrame, name: str) -> DataFrame:
     return blocks.select("block").withColumn(name, F.row_number().over(Window.orderBy("block")) - 1)
 
 
+def _distinct(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows without copies under one id, and if an id is left that has several."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, rows, False
+    order = np.lexsort((*rows.T[::-1], ids))
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (rows[order][1:] != rows[order][:-1]).any(1)
+    keep = np.sort(order[fresh])
+    return ids[keep], rows[keep], len(np.unique(ids[keep])) < len(keep)
+
+
+def _scored(rows: np.ndarray, ids: np.ndarray, found: np.ndarray, query: np.ndarray, own: int, repeated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the rows found other than the query's own id, each id once, at its best."""
+    scores = (rows[found] * query).sum(1)  # row by row in the same order: equal vectors, equal scores
+    who = ids[found]
+    fine = (who != own) & np.isfinite(scores)
+    scores, who = scores[fine], who[fine]
+    if repeated:
+        order = np.lexsort((-scores, who))
+        scores, who = scores[order], who[order]
+        best = np.ones(len(who), bool)
+        best[1:] = who[1:] != who[:-1]
+        scores, who = scores[best], who[best]
+    return scores, who
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, trees: int = TREES, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows found, its own id left out.
 
@@ -157,15 +183,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
                 get = lambda name, kind: np.frombuffer(batch.column(name)[at].as_py(), kind)
                 if kept[0] != number:
                     x = get("r_data", np.float64).reshape(-1, dims)
-                    kept = (number, get("r_ids", np.int64), Forest(x, trees))
-                ids, forest = kept[1:]
+                    ids, x, repeated = _distinct(get("r_ids", np.int64), x)
+                    kept = (number, ids, repeated, Forest(x, trees))
+                ids, repeated, forest = kept[1:]
                 q_ids, q = get("q_ids", np.int64), get("q_data", np.float64).reshape(-1, dims)
                 out_q, out_r, out_s = [], [], []
                 for one, own, found in zip(q, q_ids, forest.candidates(q, max(LEAST, 4 * k, int(share * len(ids))))):
-                    scores = (forest.rows[found] * one).sum(1)  # row by row in the same order: equal vectors, equal scores
-                    who = ids[found]
-                    fine = (who != own) & np.isfinite(scores)
-                    scores, who = scores[fine], who[fine]
+                    scores, who = _scored(forest.rows, ids, found, one, own, repeated)
+                    if repeated and len(who) < k:  # rows of few ids took the places
+                        scores, who = _scored(forest.rows, ids, np.arange(len(ids)), one, own, repeated)
                     if len(who) > 4 * k:
                         best = scores >= np.partition(scores, -k)[-k]
                         scores, who = scores[best], who[best]
