@@ -45,6 +45,26 @@ def test_cached_encoder_equals_library(edge_rows):
         assert small.encode_batch(pa.array(every[at : at + 5])) == wanted[at : at + 5]
 
 
+def test_one_text_with_more_chunks_than_slots():
+    text = " ".join(f"w{i}" for i in range(5000))
+    want = np.asarray(library().encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    small = wordbpe.WordEncoder(WORD, capacity=20)
+    for _ in range(2):
+        assert small.encode_batch(pa.array([text, "w1 w2", text])) == [want, np.asarray(library().encode("w1 w2", add_special_tokens=False).ids, "<u2").tobytes(), want]
+
+
+def test_chunks_of_one_hash_keep_their_ids(monkeypatch, edge_rows):
+    from thicketry.llm import words
+
+    whole = words.span_hashes
+    monkeypatch.setattr(words, "span_hashes", lambda *a: whole(*a) & np.uint64(7))
+    every = texts(edge_rows[:6] + edge_rows[9:]) + [" ".join(f"w{i}" for i in range(200))]
+    wanted = [np.asarray(e.ids, "<u2").tobytes() for e in library().encode_batch(every, add_special_tokens=False)]
+    enc = wordbpe.WordEncoder(WORD, capacity=300)
+    for _ in range(3):
+        assert enc.encode_batch(pa.array(every)) == wanted
+
+
 def test_token_files(spark, edge, edge_rows, none):
     folder = common.shared_dir(spark, "t")
     manifest = tokenfile.write_tokens(edge, WORD, folder, length=16, file_tokens=500)

@@ -218,19 +218,7 @@ class ByteEncoder:
         stop = np.unique(np.concatenate([stop, ends[1:][ends[1:] > ends[:-1]]]))  # what follows the last word is a span as well
         owner = np.searchsorted(ends, stop, "left") - 1
         start = np.maximum(np.concatenate([[0], stop[:-1]]), ends[owner])
-        hashes = words.span_hashes(words.RAW[data], start, stop)
-        entries = self.cache.find(hashes)
-        new = np.flatnonzero(entries < 0)
-        if len(new):
-            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            if self.cache.full(len(distinct)):
-                self.cache.clear()
-                new = np.arange(len(hashes))
-                distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            spans = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[new[first]].tolist(), stop[new[first]].tolist())]
-            entries[new] = self.cache.n + back
-            self.cache.add(distinct, *self._learn(spans))
+        entries = self.cache.entries(data, start, stop, self._learn)
         ids, places = self.cache.gather(entries)
         cuts = places[np.searchsorted(stop, ends, "right")].tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -1,8 +1,8 @@
 """Ids of the tokenizers library for whole texts, with each distinct word encoded once per worker.
 
 The vocabulary file splits at white space before anything else looks at the text, so the ids of a text are the
-ids of its space-separated chunks, one after the other. A bounded table keeps the ids of chunks seen before, by
-their hashes; only new chunks reach the library. Chunks of plain Latin letters, digits and signs go to the file's own
+ids of its space-separated chunks, one after the other. A bounded table keeps the ids of chunks seen
+before; only new chunks reach the library. Chunks of plain Latin letters, digits and signs go to the file's own
 BPE model in long joined strings (the library's per-call costs are most of its time); every other chunk goes
 through the library's whole pipeline.
 """
@@ -84,19 +84,7 @@ class WordEncoder:
         if not len(data):
             return [b""] * len(texts)
         start, stop = words.word_spans(data, ends, words.SPACED[data])
-        hashes = words.span_hashes(words.RAW[data], start, stop)
-        entries = self.cache.find(hashes)
-        new = np.flatnonzero(entries < 0)
-        if len(new):
-            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            if self.cache.full(len(distinct)):
-                self.cache.clear()
-                new = np.arange(len(hashes))
-                distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            chunks = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[new[first]].tolist(), stop[new[first]].tolist())]
-            entries[new] = self.cache.n + back
-            self.cache.add(distinct, *self._learn(chunks))
+        entries = self.cache.entries(data, start, stop, self._learn)
         ids, places = self.cache.gather(entries)
         cuts = places[np.searchsorted(start, ends)].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
