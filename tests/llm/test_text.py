@@ -254,6 +254,73 @@ def test_passages_with_one_edit_anywhere(spark, kind):
     assert found == wanted
 
 
+def test_passages_behind_their_parts(spark):
+    """Two long pieces of a passage apart, the passage, the pieces again, the passage: the last repeats the second."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        p = some(60)
+        for whole in (False, True, False, True):
+            middle = p if whole else p[:49] + some(30) + p[11:]
+            rows.append((len(rows), " ".join(some(40) + middle + some(40))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = defaultdict(list)
+    for r in passages.repeats(df).collect():
+        found[r["doc_id"]].append(r)
+    for i in range(3, 240, 4):
+        assert sum(r["n_words"] for r in found[i]) == 60 and min(r["start"] for r in found[i]) == 40
+
+
+@pytest.mark.parametrize("n, changes", [(60, 1), (100, 2), (150, 3), (300, 5)])
+def test_recall_of_near_passages(spark, n, changes):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for _ in range(100):
+        p = some(n)
+        edit = list(p)
+        for k in range(changes):
+            edit[n * (k + 1) // (changes + 1)] = word()
+        rows += [(len(rows) + k, " ".join(some(50) + x + some(50))) for k, x in enumerate((p, edit))]
+    covered = Counter()
+    for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert r["source_id"] == r["doc_id"] - 1 and r["start"] >= 50 and r["start"] + r["n_words"] <= 50 + n
+        covered[r["doc_id"]] += r["n_words"]
+    assert sum(covered[i] >= 0.9 * n for i in range(1, 200, 2)) >= 95
+
+
+def test_different_texts_under_one_id(spark):
+    word = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
+    rows = [(1, word(1)), (2, word(2)), (2, word(1) + " own"), (2, word(1) + " own"), (3, word(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["source_id"]) for r in passages.repeats(df).collect()) == [(2, 60, 1), (3, 60, 2)]
+    assert sorted(map(tuple, passages.remove(df).collect())) == [(1, word(1)), (2, "own"), (2, "own"), (2, word(2))]
+
+
+def test_members_of_a_group_are_compared_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 32, passages._SPAN).astype(np.uint32)
+    rows = []
+    for i in range(300):
+        tokens = base.copy() if i % 3 == 0 else rng.integers(1, 1 << 32, len(base)).astype(np.uint32)
+        tokens[passages.WIDTH - 1] = base[passages.WIDTH - 1]
+        if i:
+            tokens[i % 40] = i
+        rows.append((7, 0, i, 0, 1000 + i, 1000 + i - passages.WIDTH + 1, tokens.tobytes()))
+    schema = passages._numbers(passages._AROUND)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[a : a + 70]), schema)], schema=schema) for a in range(0, 300, 70)]
+    found = defaultdict(set)
+    for b in passages._compare(iter(batches)):
+        for r in b.to_pylist():
+            found[r["doc_id"]].add(r["source_id"])
+    assert set(found) == set(range(3, 300, 3)) and all(max(s) < d and not any(x % 3 for x in s) for d, s in found.items())
+
+
 # Shards
 
 
