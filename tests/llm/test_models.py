@@ -127,10 +127,11 @@ def test_nearest_recall(spark):
     assert hits / sum(map(len, wanted.values())) >= 0.9
 
 
-def test_nearest_edges(spark):
+@pytest.mark.parametrize("few", [ann.FEW, 0])
+def test_nearest_edges(spark, few):
     rows = [(i, [float(i % 3), 1.0, float(i % 5)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 0.0]), (63, [float("nan"), 1.0, 0.0]), (64, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (5, [9.0, 9.0, 9.0]), (80, [1.0, 1.0, 1.0]), (80, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    found = ann.search(df, df.where("vec_id % 20 = 0"), k=20, block=16).collect()
+    found = ann.search(df, df.where("vec_id % 20 = 0"), k=20, few=few).collect()
     assert {r["query_id"] for r in found} == {0, 20, 40, 80}
     assert not {r["vec_id"] for r in found} & {60, 61, 62, 63, 64, None}
     best = {}
