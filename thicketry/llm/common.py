@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._thicketry_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` whose readers have all been written themselves."""
+    for t in tables:
+        fs, path = pafs.FileSystem.from_uri(t._thicketry_path)
+        fs.delete_dir(path)
+
+
+def free(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of tables that are written by now: it does so for plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def in_order(texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) in ascending order of the id over all partitions; null ids come first.
+
+    Rows of one id (or none) are ordered by their first characters, then by a hash of the text, and equal rows by where they lie, so that no
+    id, however frequent, has to stay in one partition.
+    """
+    keys = ["doc_id", "__head", "__hash", "__row"]
+    keyed = texts.withColumns({"__head": F.substring("text", 1, 32), "__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    return keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
