@@ -5,7 +5,7 @@ import pytest
 from thicketry.plans import catalog
 
 #: One of each family; the driver compares all of them.
-SOME = ["content_digest", "annex_key_digest", "scan_exclude_rollup", "error_nodes_perturb_hash", "flatten_postorder", "row_format", "find_topmost", "find_labels_first_wins", "dupes_simplified", "set_merge_last_wins", "diff_render", "tree_info"]
+SOME = ["content_digest", "annex_key_digest", "scan_exclude_rollup", "error_nodes_perturb_hash", "flatten_postorder", "row_format", "find_topmost", "find_labels_first_wins", "dupes_simplified", "set_merge_last_wins", "diff_render", "tree_info", "find_regex", "row_format_errors", "row_parse", "diff_links_and_errors", "assert_same_trees", "apply_deltas", "rm_subtree", "add_subtree", "wrap_dirs", "set_with_note", "set_sorted_lines", "dupes_scored", "dupes_explained"]
 
 
 def plain(rows, names):

@@ -146,7 +146,7 @@ def test_hash_sets(spark, tmp_path):
     assert notes[h(a, "x")] == "later" and notes[h(a, "y")] == "y" and len(notes) == 4
     path = str(tmp_path / "set")
     setfile.write_set(made, path)
-    assert R.same_tree(made, made) if False else sorted(map(tuple, setfile.read_set(spark, path).collect())) == sorted(tuple(r) for r in made.select(*H.COLUMNS).collect())
+    assert sorted(map(tuple, setfile.read_set(spark, path).collect())) == sorted(tuple(r) for r in made.select(*H.COLUMNS).collect())
     assert H.contains(made, h(a, "x")) and not H.contains(made, "no")
     assert {r["note"] for r in H.with_note(made, "n").collect()} == {"n"}
     assert H.empty(spark).count() == 0
@@ -181,6 +181,50 @@ def test_tree_file_round_trip(spark, tmp_path):
     assert treefile.read_tree(spark, str(tmp_path / "none")).first()["err_msg"] == "no rows parsed"
 
 
+@pytest.mark.parametrize("lines", [2_000, 20_000])
+def test_long_headers_and_odd_first_names(spark, tmp_path, lines):
+    h = "h" * 20
+    rows = b"F\t1\t%b\t5\t7\t1\tb\xffad\nD\t1\0\n" % h.encode() + b"F\t1\t%b\t5\t7\t1\tc\xff\0\n" % h.encode() + b"D\t0\t%b\t5\t4110\t3\troot\0\n" % h.encode()
+    head = treefile.comment(treefile.make_header([f"p\u00e9{i}" for i in range(lines)], 10)) + "# " + "\t".join(treefile.FIELDS) + "\n"
+    path = tmp_path / "t.tree"
+    path.write_bytes(head.encode() + rows + treefile.comment(treefile.make_footer(17)).encode())
+    back = {bytes(r[0]) for r in treefile.read_tree(spark, str(path)).select(F.col("path").cast("binary")).collect()}
+    assert back == {b"root", b"root/b\xffad\nD\t1", b"root/c\xff"}
+    header, nodes, footer = treefile.read_file(spark, str(path))
+    assert len(header["excludePatterns"]) == lines and footer == {"scanEnd": 17} and nodes.count() == 3
+    assert treefile.root_row(spark, str(path)).select("name", "nnodes").first() == ("root", 3)
+
+
+def test_filters_while_reading(spark, tmp_path):
+    tree = frame(spark, Tree({"a": {"x": "1", "d": {"y": "2"}}, "b": "3"}))
+    path = str(tmp_path / "t.tree")
+    treefile.write_tree(tree, path)
+    paths = lambda *a, **k: {r["path"] for r in treefile.read_tree(spark, path, *a, **k).collect()}
+    assert paths(1) == {"root", "root/a", "root/b"}
+    assert paths(rows=F.col("type") == "F") == {"root/a/x", "root/a/d/y", "root/b"}
+    assert paths(0, F.col("type") == "F") == set()
+
+
+def test_numbers_without_a_single_task(spark):
+    from thicketry.plans.materialize import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert sorted((r["k"], r["position"]) for r in numbered(df, F.desc("k")).collect()) == [(k, 1000 - k) for k in range(1000)]
+    assert numbered(df.where("false"), "k").count() == 0
+
+
+def test_edits_equal_whole_rebuilds(spark):
+    """New values above a change alone are those of a tree built anew."""
+    rng = random.Random(77)
+    for _ in range(2):
+        old, more = random_tree(rng), random_tree(rng)
+        a, b = frame(spark, old), frame(spark, more)
+        files = [r["path"].split("/", 1)[1] for r in a.where("depth > 0").orderBy("path").collect()]
+        gone = spark.createDataFrame([(p,) for p in rng.sample(files, min(3, len(files)))], "path string")
+        for made in (E.remove_subtree(a, gone), E.insert(a, b, "new/deep/er"), E.wrap(a, "o", "i")):
+            assert R.same_tree(made, R.rebuild(made))
+
+
 def test_paths_across_chunks(spark, monkeypatch):
     nodes = frame(spark, random_tree(random.Random(5)))
     from pyspark.sql import Window
@@ -206,7 +250,7 @@ def test_scan(spark, folder):
     with pytest.raises(FileExistsError):
         SC.write_directory({}, str(folder))
     rows = {bytes(r["p"]): r for r in SC.scan(spark, str(folder)).withColumn("p", F.col("path").cast("binary")).drop("path", "name", "parent").collect()}
-    listed = {os.path.relpath(os.path.join(d, n), folder.parent) for d, ds, fs in os.walk(os.fsencode(str(folder))) for n in ds + fs} if False else {os.path.join(d, n)[len(os.fsencode(str(folder.parent))) + 1 :] for d, ds, fs in os.walk(os.fsencode(str(folder))) for n in ds + fs}
+    listed = {os.path.join(d, n)[len(os.fsencode(str(folder.parent))) + 1 :] for d, ds, fs in os.walk(os.fsencode(str(folder))) for n in ds + fs}
     assert set(rows) == {x for x in listed if not x.endswith(b".swp")} | {b"scanned"}
     kind = lambda p: rows[b"scanned/" + p]["type"]
     assert [kind(p) for p in (b"a", b"a/f", b"a/near", b"far", b"a/up", b"pipe", b"none", b"b\xff")] == list("DFLBBEDF")

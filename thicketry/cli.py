@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
 import os
 import sys
+from collections.abc import Iterable
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import model as M
@@ -59,12 +61,28 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _emit(text: str, output: str | None) -> None:
-    if output:
-        with open(output, "w", encoding="utf-8", errors="surrogateescape") as f:
+def _emit(texts: Iterable[str], output: str | None, otherwise: str = "") -> None:
+    """Writes the texts as they come, `otherwise` if there are none."""
+    with open(output, "w", encoding="utf-8", errors="surrogateescape") if output else contextlib.nullcontext(sys.stdout) as f:
+        some = False
+        for text in texts:
             f.write(text)
-    else:
-        sys.stdout.write(text)
+            some = True
+        if not some:
+            f.write(otherwise)
+
+
+def _read(spark: SparkSession, path: str, verbose: bool, max_depth: int | None = None) -> DataFrame:
+    """A saved tree or a scan; if verbose, its errors are told."""
+    nodes = SC.read_or_scan(spark, path, max_depth=max_depth)
+    if verbose:
+        _tell(nodes)
+    return nodes
+
+
+def _tell(nodes: DataFrame) -> None:
+    for e in M.errors(nodes).select("path", "err_msg").toLocalIterator():
+        logging.error("%s: %s", e["path"], e["err_msg"])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -85,25 +103,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         header = treefile.make_header(excludes)
         nodes = SC.scan(spark, args.path, excludes)
         if args.verbose:
-            for e in M.errors(nodes).select("path", "err_msg").toLocalIterator():
-                logging.error("%s: %s", e["path"], e["err_msg"])
+            _tell(nodes)
         if args.output:
             treefile.write_tree(nodes, args.output, excludes, header)
         else:
             sys.stdout.write(treefile.comment(header) + "# " + "\t".join(treefile.FIELDS) + "\n")
             sys.stdout.flush()
-            sys.stdout.buffer.write(treefile.serialize(nodes))
+            for row in treefile.row_stream(nodes):
+                sys.stdout.buffer.write(row)
             sys.stdout.buffer.flush()
             sys.stdout.write(treefile.comment(treefile.make_footer()))
     elif args.command == "diff":
-        found = D.rendered(D.diff(SC.read_or_scan(spark, args.old), SC.read_or_scan(spark, args.new))).orderBy("line")
-        _emit("".join(r[0] + "\n" for r in found.toLocalIterator()), args.output)
+        found = D.rendered(D.diff(*(_read(spark, p, args.verbose) for p in (args.old, args.new)))).orderBy("line")
+        _emit((r[0] + "\n" for r in found.toLocalIterator()), args.output)
     elif args.command == "dupes":
-        found = U.explained(SC.read_or_scan(spark, args.hashes), args.max_depth).orderBy("position")
-        _emit("".join(r["text"] + "\n" for r in found.toLocalIterator()) or "\n", args.output)
+        found = U.explained(_read(spark, args.hashes, args.verbose, args.max_depth), args.max_depth).orderBy("position")
+        _emit((r["text"] + "\n" for r in found.toLocalIterator()), args.output, "\n")
     elif args.command == "set-add":
         old = setfile.read_set(spark, args.set) if os.path.exists(args.set) else H.empty(spark)
-        trees = [treefile.read_tree(spark, p) for p in args.paths]
+        trees = [_read(spark, p, args.verbose) for p in args.paths]
         fresh = args.set + ".new"
         setfile.write_set(H.add(old, *trees, note=args.note), fresh)
         os.replace(fresh, args.set)
@@ -114,8 +132,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.searches_json:
             with open(args.searches_json, encoding="utf-8") as f:
                 config = replace(config, searches=S.parse_searches(f.read()))
-        found = S.path_lines(S.find(SC.read_or_scan(spark, args.path), config), args.out_fmt, bool(config.searches)).orderBy(M.components(F.col("path")))
-        _emit("".join(r["line"] + "\n" for r in found.toLocalIterator()), args.output)
+        inner = any(s.dir_contains_path is not None for _, group in config.searches for s in group)
+        found = S.path_lines(S.find(_read(spark, args.path, args.verbose, None if inner else args.max_depth), config), args.out_fmt, bool(config.searches)).orderBy(M.components(F.col("path")))
+        _emit((r["line"] + "\n" for r in found.toLocalIterator()), args.output)
     return 0
 
 

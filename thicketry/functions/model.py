@@ -96,6 +96,11 @@ def is_annex_target(target: Column) -> Column:
     return F.coalesce(target.contains(".git/annex/objects/") & F.substring_index(target, "/", -1).startswith("SHA256E-"), F.lit(False))
 
 
+def is_plain_link(target: Column) -> Column:
+    """Whether a node is a link that points anywhere else."""
+    return target.isNotNull() & ~is_annex_target(target)
+
+
 def sanitize_message(message: Column) -> Column:
     """Error text with letters, digits, white space and / : ( ) [ ] . _ - only."""
     return F.regexp_replace(message, r"[^\p{L}\p{N}\s/:()\[\]._-]", "")

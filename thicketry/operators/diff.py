@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model as M
 from ..plans.materialize import materialized
-from .edit import add_subtree, remove_subtree
+from .edit import replace_subtrees
 
 
 def relative(path: Column = None) -> Column:
@@ -29,7 +29,7 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     top is told. A node whose kind changed is removed and added; other nodes whose hashes differ are edited. Two roots that
     are no directories are compared under the path ''.
     """
-    both = _sides(old, new)
+    both = materialized(_sides(old, new), "sides")  # read four times below
     dirs = (F.col("old_type") == "D") & (F.col("new_type") == "D")
     differ = ~F.col("old_hash").eqNullSafe(F.col("new_hash"))
     pairs = both.where(dirs)
@@ -86,23 +86,24 @@ def rendered(deltas: DataFrame) -> DataFrame:
     )
 
 
-def assert_same(old: DataFrame, new: DataFrame) -> None:
-    some = rendered(diff(old, new)).take(20)
+def assert_same(old: DataFrame, new: DataFrame, shown: int = 20) -> None:
+    """Raises AssertionError with the number of differences and the first ones in path order."""
+    found = diff(old, new)
+    some = rendered(found.orderBy("path", "op").limit(shown)).collect()
     if some:
-        raise AssertionError("trees differ:\n" + "\n".join(r[0] for r in some))
+        raise AssertionError(f"trees differ in {found.count()} places:\n" + "\n".join(r[0] for r in some))
 
 
 def apply(old: DataFrame, deltas: DataFrame, new: DataFrame) -> DataFrame:
     """The old tree with the changes made; subtrees of additions and edits come from the new one.
 
-    Removed, moved and edited subtrees go, the new ones come, and all derived values are made anew at once. Raises ValueError if
+    Removed, moved and edited subtrees go, the new ones come; only directories above them get new derived values. Raises ValueError if
     a path to be removed is not there.
     """
-    root = old.where("depth = 0").select("name").first()[0]
     deltas = materialized(deltas, "deltas")
     gone = deltas.where("op in ('rm', 'mv', 'edit')").select("path")
     here = old.select(relative().alias("path"))
     if missing := gone.join(here, "path", "left_anti").take(1):
         raise ValueError(f"no such path to remove: {missing[0][0]}")
     come = deltas.where("op in ('add', 'edit')").select("path").unionByName(deltas.where("op = 'mv'").select(F.col("path2").alias("path")))
-    return add_subtree(remove_subtree(old, gone, rebuild=False), new, come, root)
+    return replace_subtrees(old, gone, new, come)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import model as M
+from ..plans.materialize import materialized, numbered
 
 
 def groups(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def members(nodes: DataFrame, found: DataFrame, max_depth: int | None = None) ->
 
 def simplified(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Scored groups without those that lie wholly inside the first group's paths; no other group prunes."""
-    found = scored(nodes, max_depth)
+    found = materialized(scored(nodes, max_depth), "groups")  # read four times below
     top = found.orderBy(*order()).limit(1)
     inside_of = members(nodes, top, max_depth).select(F.col("path").alias("above"))
     every = members(nodes, found, max_depth)
@@ -58,7 +59,7 @@ def simplified(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def fully_simplified(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Scored groups without those whose every member lies below a member of another group."""
-    found = scored(nodes, max_depth)
+    found = materialized(scored(nodes, max_depth), "groups")
     every = members(nodes, found, max_depth)
     inside = every.select("hash", "path", F.explode(M.ancestors(F.col("path"))).alias("above")).join(every.select(F.col("path").alias("above")), "above", "left_semi").select("hash", "path").distinct()
     within = inside.groupBy("hash").agg(F.count("*").alias("within"))
@@ -70,10 +71,9 @@ def explained(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
 
     A group's text holds all its paths, as a printed report does; for tables use `members`.
     """
-    kept = simplified(nodes, max_depth)
+    kept = materialized(simplified(nodes, max_depth), "simplified")
     paths = members(nodes, kept, max_depth).groupBy("hash").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("paths"))
     depth = f" (up to {max_depth} levels deep)" if max_depth is not None else ""
     what = F.when(F.col("type") == "D", F.concat(F.lit("dirs would remove "), F.col("score").cast("string"), F.lit(" files"))).when(F.col("type") == "F", F.concat(F.lit("files would remove "), F.col("score").cast("string"))).otherwise(F.concat(F.lit("links would remove "), F.col("score").cast("string")))
     head = F.concat(F.lit("# deduping these "), F.col("k").cast("string"), F.lit(" "), what, F.lit(f"{depth}:"))
-    numbered = kept.withColumn("position", F.row_number().over(Window.orderBy(*order())))  # the report's own order: one row a group
-    return numbered.join(paths, "hash").select(F.col("position").cast("long").alias("position"), "hash", F.concat(head, F.lit("\n"), F.col("paths"), F.lit("\n")).alias("text"))
+    return numbered(kept, *order()).join(paths, "hash").select("position", "hash", F.concat(head, F.lit("\n"), F.col("paths"), F.lit("\n")).alias("text"))

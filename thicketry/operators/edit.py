@@ -1,4 +1,4 @@
-"""Editing trees: subtrees added, removed and wrapped; all derived values are made anew."""
+"""Editing trees: subtrees added, removed and wrapped. Only the directories above a change get new derived values."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import model as M
 from ..plans.materialize import materialized
-from .rollup import build, to_entries
 
 
 def _relative():
@@ -15,52 +14,108 @@ def _relative():
 
 
 def _under(rows: DataFrame, tops: DataFrame, how: str) -> DataFrame:
-    """rows (with rel) below or at one of tops (path), by equality of exploded ancestors."""
-    spread = rows.select("rel", F.explode(M.ancestors(F.col("rel"), own=True)).alias("path"))
+    """rows below or at one of tops (path, relative to the root), by equality of exploded ancestors."""
+    rel = rows.withColumn("rel", _relative())
+    spread = rel.select("rel", F.explode(M.ancestors(F.col("rel"), own=True)).alias("path"))
     hit = spread.join(tops.select("path"), "path", "left_semi").select("rel").distinct()
-    return rows.join(hit, "rel", how)
+    return rel.join(hit, "rel", how).drop("rel")
 
 
-def remove_subtree(nodes: DataFrame, tops: DataFrame, rebuild: bool = True) -> DataFrame:
-    """The tree without the subtrees at tops (path, relative to the root); entries if not rebuilt."""
-    rows = to_entries(nodes).withColumn("rel", _relative())
-    kept = _under(rows, tops, "left_anti").drop("rel")
-    return build(kept) if rebuild else kept
+def _root(nodes: DataFrame) -> str:
+    return nodes.where("depth = 0").select("name").first()[0]
 
 
-def add_subtree(rows: DataFrame, source: DataFrame, tops: DataFrame, root: str) -> DataFrame:
-    """Entries with the subtrees of `source` at tops (path, relative to its root) added under `root`; what lay there goes.
+def _edited(before: DataFrame, kept: DataFrame, placed: DataFrame | None, changed: DataFrame, dir_bytes: int = M.DIR_BYTES, full_digest: bool = False) -> DataFrame:
+    """The nodes kept and placed, with new values for the directories above `changed` (path, whole).
+
+    Directories on the way that are missing are made, with dir_bytes of their own and time 0. Own sizes and times of the
+    others are recovered from the tree `before` (a time is known only where no child explains it). Work
+    and writes besides one pass over the nodes are bound by the directories above the changes and their children.
+    """
+    final = kept if placed is None else kept.unionByName(placed)
+    above = changed.select(F.explode(M.ancestors(F.col("path"))).alias("path")).distinct()
+    if placed is not None:
+        above = above.join(placed.select("path"), "path", "left_anti")  # nested changes: those are right already
+        if blocked := kept.where("type <> 'D'").join(above, "path", "left_semi").take(1):
+            raise ValueError(f"not a directory: {blocked[0]['path']}")
+    above = materialized(above, "above")
+    children = before.join(above.select(F.col("path").alias("parent")), "parent", "left_semi").groupBy(F.col("parent").alias("path")).agg(F.sum("nbytes").alias("below"), F.max("mtime").alias("latest"))
+    known = kept.join(above, "path", "left_semi").join(children, "path", "left").select("path", (F.col("nbytes") - F.coalesce("below", F.lit(0))).alias("own_bytes"), F.when(F.coalesce("latest", F.lit(-1)) >= F.col("mtime"), F.lit(0)).otherwise(F.col("mtime")).alias("own_mtime"))
+    stale = above.join(known, "path", "left").select("path", M.parent_of(F.col("path")).alias("parent"), M.depth_of(F.col("path")).cast("int").alias("depth"), F.coalesce("own_bytes", F.lit(dir_bytes)).alias("own_bytes"), F.coalesce("own_mtime", F.lit(0)).alias("own_mtime"))
+    stale = materialized(stale, "stale", by="depth")
+    final = final.join(stale.select("path"), "path", "left_anti").select(*M.NODE_COLUMNS)
+    values = ["parent", "hash", "mtime", "nbytes", "nnodes"]
+    beside = final.join(stale.select(F.col("path").alias("parent")), "parent", "left_semi")
+    beside = materialized(beside.select(*values, "depth"), "beside", by="depth")
+    level = None
+    for depth in range(stale.agg(F.max("depth")).first()[0] if stale.take(1) else -1, -1, -1):
+        own = beside.where(F.col("depth") == depth + 1).select(*values)
+        if level is not None:
+            own = own.unionByName(level.select(*values))
+        sums = own.groupBy(F.col("parent").alias("path")).agg(F.collect_list("hash").alias("hashes"), F.max("mtime").alias("latest"), F.sum("nbytes").alias("bytes"), F.sum("nnodes").alias("n"))
+        none = F.array().cast("array<string>")
+        made = stale.where(F.col("depth") == depth).join(sums, "path", "left").select(
+            "path", "parent", M.name_of(F.col("path")).alias("name"), "depth", F.lit("D").alias("type"),
+            M.children_digest(F.coalesce("hashes", none), full_digest).alias("hash"),
+            F.greatest("own_mtime", F.coalesce("latest", F.lit(0))).cast("long").alias("mtime"),
+            (F.col("own_bytes") + F.coalesce("bytes", F.lit(0))).cast("long").alias("nbytes"),
+            (1 + F.coalesce("n", F.lit(0))).cast("long").alias("nnodes"),
+            F.lit(None).cast("string").alias("link_target"), F.lit(None).cast("string").alias("err_msg"),
+        )
+        level = materialized(made.select(*M.NODE_COLUMNS), f"level-{depth}")
+        final = final.unionByName(level)
+    return final
+
+
+def _whole(tops: DataFrame, root: str) -> DataFrame:
+    return tops.select(F.concat(F.lit(f"{root}/"), F.col("path")).alias("path"))
+
+
+def remove_subtree(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """The tree without the subtrees at tops (path, relative to the root). Paths that are not there change nothing."""
+    there = tops.join(nodes.select(_relative().alias("path")), "path", "left_semi").where("path <> ''")
+    kept = materialized(_under(nodes, tops, "left_anti"), "kept")
+    return _edited(nodes, kept, None, _whole(there, _root(nodes)))
+
+
+def replace_subtrees(nodes: DataFrame, gone: DataFrame, source: DataFrame, come: DataFrame) -> DataFrame:
+    """The tree without the subtrees at `gone`, with those of `source` at `come` (path, relative to both roots); what lay there goes.
 
     Missing directories on the way are made. Raises ValueError for an empty path, or where a file stands in the way.
     """
-    if tops.where("path = ''").take(1):
+    if come.where("path = ''").take(1):
         raise ValueError("a subtree needs a path below the root")
-    old = _under(rows.withColumn("rel", _relative()), tops, "left_anti").drop("rel")
-    more = _under(to_entries(source).withColumn("rel", _relative()), tops, "left_semi")
-    placed = materialized(more.withColumn("path", F.concat(F.lit(f"{root}/"), F.col("rel"))).drop("rel"), "placed")
-    old = materialized(old, "kept")
-    above = placed.select(F.explode(M.ancestors(F.col("path"))).alias("path")).distinct()
-    if blocked := old.where("type <> 'D'").join(above, "path", "left_semi").take(1):
-        raise ValueError(f"not a directory: {blocked[0]['path']}")
-    return build(old.unionByName(placed))
+    root = _root(nodes)
+    tops = materialized(gone.select("path").unionByName(come.select("path")).distinct(), "tops")
+    kept = materialized(_under(nodes, tops, "left_anti"), "kept")
+    placed = _under(source, come, "left_semi").withColumn("path", F.concat(F.lit(f"{root}/"), _relative()))
+    placed = materialized(placed.withColumn("parent", M.parent_of(F.col("path"))).select(*M.NODE_COLUMNS), "placed")
+    return _edited(nodes, kept, placed, _whole(tops.where("path <> ''"), root))
+
+
+def add_subtree(nodes: DataFrame, source: DataFrame, tops: DataFrame) -> DataFrame:
+    """The tree with the subtrees of `source` at tops (path, relative to both roots); what lay there goes."""
+    return replace_subtrees(nodes, tops.where("false"), source, tops)
+
+
+def _moved(nodes: DataFrame, top: str) -> DataFrame:
+    """The nodes with their root at the path `top`."""
+    path = F.when(F.col("depth") > 0, F.concat(F.lit(f"{top}/"), _relative())).otherwise(F.lit(top))
+    moved = nodes.withColumn("path", path)
+    return moved.withColumns({"parent": M.parent_of(F.col("path")), "name": M.name_of(F.col("path")), "depth": M.depth_of(F.col("path")).cast("int")}).select(*M.NODE_COLUMNS)
 
 
 def insert(nodes: DataFrame, sub: DataFrame, at: str) -> DataFrame:
     """The tree with another tree placed at a relative path, its root taking the path's last name."""
-    root = nodes.where("depth = 0").select("name").first()[0]
-    moved = to_entries(sub).withColumn("depth_", M.depth_of(F.col("path"))).withColumn("path", F.when(F.col("depth_") > 0, F.concat(F.lit(f"{root}/{at}/"), M.below_root(F.col("path")))).otherwise(F.lit(f"{root}/{at}"))).drop("depth_")
-    tops = nodes.sparkSession.createDataFrame([(at,)], "path string")
     if not at:
         raise ValueError("a subtree needs a path below the root")
-    old = _under(to_entries(nodes).withColumn("rel", _relative()), tops, "left_anti").drop("rel")
-    parents = [f"{root}/" + "/".join(at.split("/")[:k]) for k in range(1, at.count("/") + 1)]
-    if parents and (bad := old.where(F.col("path").isin(*parents) & (F.col("type") != "D")).take(1)):
-        raise ValueError(f"not a directory: {bad[0]['path']}")
-    return build(old.unionByName(moved))
+    tops = nodes.sparkSession.createDataFrame([(at,)], "path string")
+    root = _root(nodes)
+    return _edited(nodes, materialized(_under(nodes, tops, "left_anti"), "kept"), _moved(sub, f"{root}/{at}"), _whole(tops, root))
 
 
 def wrap(nodes: DataFrame, *names: str, dir_bytes: int = M.DIR_BYTES) -> DataFrame:
     """The tree inside new directories, the first name outermost: each adds one node and dir_bytes."""
-    prefix = "/".join(names)
-    inner = to_entries(nodes).withColumn("path", F.concat(F.lit(f"{prefix}/"), F.col("path")))
-    return build(inner, dir_bytes=dir_bytes)
+    top = "/".join((*names, _root(nodes)))
+    moved = _moved(nodes, top)
+    return _edited(moved, moved, None, nodes.sparkSession.createDataFrame([(top,)], "path string"), dir_bytes)

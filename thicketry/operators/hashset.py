@@ -22,8 +22,9 @@ def from_nodes(nodes: DataFrame, note: str | None = None) -> DataFrame:
 
 
 def post_order():
-    """A sort key: components, each marked to sort before the end mark, so a directory follows all that is in it."""
-    return F.concat(F.transform(M.components(F.col("path")), lambda c: F.concat(F.lit("a"), c)), F.array(F.lit("b")))
+    """A sort key, as short as the path: components parted by NUL, which no name holds, and ended by the next byte, so
+    that paths sort component by component and a directory follows all that is in it."""
+    return F.concat(F.replace("path", F.lit("/"), F.lit("\0")), F.lit("\1"))
 
 
 def empty(spark) -> DataFrame:
@@ -34,7 +35,7 @@ def merged(*sources: DataFrame) -> DataFrame:
     """One entry a hash: the last one of the last source that has it. Sources may bring `seq`, their own order."""
     parts = []
     for i, s in enumerate(sources):
-        own = s if "seq" in s.columns else s.withColumn("seq", F.array(F.lit("")))
+        own = s if "seq" in s.columns else s.withColumn("seq", F.lit(""))
         parts.append(own.select(*COLUMNS, F.struct(F.lit(i).alias("source"), F.col("seq")).alias("turn")))
     every = reduce(DataFrame.unionByName, parts)
     last = F.max_by(F.struct("nnodes", "nbytes", "note"), F.struct("turn", "nnodes", "nbytes", "note")).alias("last")

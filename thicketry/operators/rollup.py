@@ -56,8 +56,9 @@ def build(rows: DataFrame, full_digest: bool = False, dir_bytes: int = M.DIR_BYT
 
 
 def with_digests(nodes: DataFrame, full_digest: bool = False) -> DataFrame:
-    """The same nodes with every directory's hash made anew from its children's, deepest first."""
-    nodes = materialized(nodes, "nodes")
+    """The same nodes with every directory's hash made anew from its children's, deepest first. Nodes lie in a folder for each depth,
+    so each is read once."""
+    nodes = materialized(nodes, "nodes", by="depth")
     top = nodes.agg(F.max("depth")).first()[0]
     if top is None:
         return nodes

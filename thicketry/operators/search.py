@@ -158,3 +158,9 @@ def path_lines(found: DataFrame, fmt: str = "", searches: bool = True) -> DataFr
 
 def contains_hash(nodes: DataFrame, value: str) -> bool:
     return bool(nodes.where((F.col("type") != "E") & (F.col("hash") == value)).take(1))
+
+
+def with_presence(nodes: DataFrame, other: DataFrame) -> DataFrame:
+    """nodes with `present`: whether another tree holds a node of that hash (errors aside). One row a hash is met."""
+    there = other.where("type <> 'E'").select("hash").distinct().withColumn("present", F.lit(True))
+    return nodes.join(there, "hash", "left").withColumn("present", F.coalesce("present", F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import model as M
@@ -18,6 +18,7 @@ from ..operators import search as S
 from ..sources import tables as T
 from ..sources import treefile as TF
 from . import oracle as O
+from .materialize import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,19 +120,32 @@ def empty_directories(spark, sf_dir):
 
 @query(O.of("docs") + f" SELECT row_number() OVER (ORDER BY {O.POST}) AS position, path FROM docs")
 def flatten_postorder(spark, sf_dir):
-    turn = Window.orderBy(H.post_order())  # positions of a file's lines
-    return nodes(spark, sf_dir, "docs").select(F.row_number().over(turn).cast("long").alias("position"), "path")
+    return numbered(nodes(spark, sf_dir, "docs").select("path"), H.post_order()).select("position", "path")
 
 
-@query(O.of("links") + " SELECT path, type || chr(9) || depth || chr(9) || hash || chr(9) || mtime || chr(9) || nbytes || chr(9) || nnodes || chr(9) || name AS line FROM links")
+# DuckDB's strings hold no NUL: it is spelt out on both sides
+@query(O.of("links") + " SELECT path, type || chr(9) || depth || chr(9) || hash || chr(9) || mtime || chr(9) || nbytes || chr(9) || nnodes || chr(9) || name || CASE WHEN type IN ('L', 'B') THEN '<NUL>' || chr(9) || '../docs/doc' || substr(name, 2) ELSE '' END AS line FROM links")
 def row_format(spark, sf_dir):
-    return TF.lines(nodes(spark, sf_dir, "links")).select("path", F.substring_index("line", "\0", 1).alias("line"))
+    return TF.lines(nodes(spark, sf_dir, "links")).select("path", F.replace("line", F.lit("\0"), F.lit("<NUL>")).alias("line"))
+
+
+@query(O.of("errors") + " SELECT path, CASE WHEN type = 'E' THEN 'E' || chr(9) || depth || chr(9) || '\"read failed\"' || chr(9) || name ELSE type || chr(9) || depth || chr(9) || hash || chr(9) || mtime || chr(9) || nbytes || chr(9) || nnodes || chr(9) || name END AS line FROM errors")
+def row_format_errors(spark, sf_dir):
+    return TF.lines(nodes(spark, sf_dir, "errors"))
+
+
+@query(O.of("links") + " SELECT path, type, depth, hash, mtime, nbytes, nnodes, CASE WHEN type IN ('L', 'B') THEN '../docs/doc' || substr(name, 2) END AS link_target FROM links")
+def row_parse(spark, sf_dir):
+    """Rows written out and parsed again."""
+    coded = numbered(TF.lines(nodes(spark, sf_dir, "links")).withColumn("turn", H.post_order()), "turn", name="seq")
+    parsed = TF.parse_rows(coded.select(F.lit("links").alias("tree"), "seq", F.col("line").alias("row")))
+    return TF.rebuild_paths(parsed).select("path", "type", "depth", "hash", "mtime", "nbytes", "nnodes", "link_target")
 
 
 @query(O.of("pages") + " SELECT path, depth, hash FROM pages")
 def path_rebuild(spark, sf_dir):
     made = nodes(spark, sf_dir, "pages")
-    coded = made.select(F.lit("pages").alias("tree"), F.row_number().over(Window.orderBy(H.post_order())).alias("seq"), "depth", "name", "hash")
+    coded = numbered(made.select(F.lit("pages").alias("tree"), H.post_order().alias("turn"), "depth", "name", "hash"), "turn", name="seq")
     return TF.rebuild_paths(coded).select("path", "depth", "hash")
 
 
@@ -179,9 +193,9 @@ def find_format(spark, sf_dir):
     return S.path_lines(S.find(nodes(spark, sf_dir, "docs")), "htdmbfh").select("line")
 
 
-@query(O.of("docs") + ", " + O.found("docs", "regexp_matches(path, 'SRC[3-5]/(en|fr)/doc[0-9]*7$', 'i')", "'sevens'") + " SELECT path, label FROM hits")
+@query(O.of("docs") + ", " + O.found("docs", "regexp_matches(path, 'SRC[3-5]/(en|fr|es|de)/doc[0-9]*[1-5]$', 'i')", "'low'") + " SELECT path, label FROM hits")
 def find_regex(spark, sf_dir):
-    return S.find(nodes(spark, sf_dir, "docs"), S.single_search(S.SearchConfig(), r"SRC[3-5]/(en|fr)/doc[[:digit:]]*7$", "sevens")).select("path", "label")
+    return S.find(nodes(spark, sf_dir, "docs"), S.single_search(S.SearchConfig(), r"SRC[3-5]/(en|fr|es|de)/doc[[:digit:]]*[1-5]$", "low")).select("path", "label")
 
 
 _LABELS = (("french", (S.Search(base_name_regex="^fr$"),)), ("never", ()), ("nine or small", (S.Search(base_name_regex="9$", whole_name_regex="/en/"), S.Search(base_name_regex="^doc[0-9]$"))), ("english", (S.Search(whole_name_regex="/en/"),)))
@@ -217,8 +231,7 @@ def find_exclude_set(spark, sf_dir):
 
 @query(O.of("docs", "snapshot") + " SELECT path, hash IN (SELECT hash FROM snapshot) AS present FROM docs")
 def tree_contains_hash(spark, sf_dir):
-    there = nodes(spark, sf_dir, "snapshot").where("type <> 'E'").select("hash").distinct().withColumn("present", F.lit(True))
-    return nodes(spark, sf_dir, "docs").join(there, "hash", "left").select("path", F.coalesce("present", F.lit(False)).alias("present"))
+    return S.with_presence(nodes(spark, sf_dir, "docs"), nodes(spark, sf_dir, "snapshot")).select("path", "present")
 
 
 # Duplicates
@@ -231,8 +244,7 @@ def dupes_groups(spark, sf_dir):
 
 @query(O.of("events") + ", " + O.groups("events") + f" SELECT {O.RANK} AS position, hash, type, n, k, score FROM grp")
 def dupes_scored(spark, sf_dir):
-    turn = Window.orderBy(*U.order())
-    return U.scored(nodes(spark, sf_dir, "events")).select(F.row_number().over(turn).cast("long").alias("position"), "hash", "type", "n", "k", "score")
+    return numbered(U.scored(nodes(spark, sf_dir, "events")), *U.order()).select("position", "hash", "type", "n", "k", "score")
 
 
 @query(O.of("mirror") + ", " + O.simplified("mirror") + " SELECT hash, type, n, k, score, first_path FROM simp")
@@ -293,9 +305,13 @@ def set_note_override(spark, sf_dir):
 
 @query(O.of("docs") + ", " + _set(("docs", "name")) + " SELECT row_number() OVER (ORDER BY hash, nnodes, nbytes, note) AS position, hash || chr(9) || nnodes || chr(9) || nbytes || chr(9) || note AS line FROM st")
 def set_sorted_lines(spark, sf_dir):
-    made = H.merged(H.from_nodes(nodes(spark, sf_dir, "docs")))
-    turn = Window.orderBy(*H.COLUMNS)
-    return H.lines(made).join(made.select("hash", F.row_number().over(turn).cast("long").alias("position")), "hash").select("position", "line")
+    made = numbered(H.merged(H.from_nodes(nodes(spark, sf_dir, "docs"))), *H.COLUMNS)
+    return H.lines(made).join(made.select("hash", "position"), "hash").select("position", "line")
+
+
+@query(O.of("docs") + ", " + _set(("docs", "'one note'")) + " SELECT * FROM st")
+def set_with_note(spark, sf_dir):
+    return H.with_note(H.merged(H.from_nodes(nodes(spark, sf_dir, "docs"))), "one note")
 
 
 @query(O.of("snapshot", "docs") + ", " + _set(("docs", "name")) + " SELECT path, note, st.nnodes AS set_nnodes FROM snapshot JOIN st ON snapshot.hash = st.hash")
@@ -375,12 +391,38 @@ def apply_deltas(spark, sf_dir):
     return D.apply(old, D.diff(old, new), new).select("path", "type", "hash", "mtime", "nbytes", "nnodes")
 
 
-@query(O.of("docs", "snapshot") + " SELECT (SELECT count(*) FROM (SELECT path, hash FROM docs EXCEPT ALL SELECT path, hash FROM snapshot))::BIGINT AS only_old, (SELECT count(*) FROM (SELECT path, hash FROM snapshot EXCEPT ALL SELECT path, hash FROM docs))::BIGINT AS only_new")
+_LINKED = (
+    "SELECT * REPLACE (CASE WHEN t = 2 AND type = 'L' THEN 'B' WHEN t = 3 AND type <> 'F' THEN 'E' ELSE type END AS type, "
+    f"CASE WHEN t = 1 AND type <> 'F' THEN {O.dig("path || '!'")} WHEN t = 3 AND type <> 'F' THEN 'ERROR' ELSE hash END AS hash, CASE WHEN t = 3 AND type <> 'F' THEN 0 ELSE mtime END AS mtime, CASE WHEN t = 3 AND type <> 'F' THEN 0 ELSE nbytes END AS nbytes) EXCLUDE (t) "
+    f"FROM (SELECT *, regexp_extract(path, '[0-9]+$')::BIGINT % 7 AS t FROM ({O.LEAVES['links'][0]}))"
+)
+
+
+@query("WITH " + O.tree("links", *O.LEAVES["links"]) + ", " + O.tree("relinked", _LINKED, 2) + ", " + O.diff("links", "relinked") + " SELECT op, path FROM deltas")
+def diff_links_and_errors(spark, sf_dir):
+    """Links edited, turned into broken ones, and lost."""
+    turn = F.regexp_extract("path", r"(\d+)$", 1).cast("long") % 7
+    link = F.col("type") != "F"
+    new = T.links(spark, sf_dir).withColumns(
+        {
+            "type": F.when((turn == 2) & (F.col("type") == "L"), F.lit("B")).when((turn == 3) & link, F.lit("E")).otherwise(F.col("type")),
+            "hash": F.when((turn == 1) & link, M.digest(F.concat("path", F.lit("!")))).otherwise(F.col("hash")),
+        }
+    )
+    return D.diff(nodes(spark, sf_dir, "links"), R.build(new)).select("op", "path")
+
+
+@query(_DOCS_SNAP + " SELECT (SELECT count(*) FROM deltas)::BIGINT AS differences, false AS same, true AS same_as_itself")
 def assert_same_trees(spark, sf_dir):
-    old, new = (nodes(spark, sf_dir, n).select("path", "hash") for n in ("docs", "snapshot"))
-    count = lambda d, n: d.agg(F.count("*").alias(n))
-    one = count(old.exceptAll(new), "only_old").withColumn("k", F.lit(0))
-    return one.join(count(new.exceptAll(old), "only_new").withColumn("k", F.lit(0)), "k").select("only_old", "only_new")
+    old, new = (nodes(spark, sf_dir, n) for n in ("docs", "snapshot"))
+    D.assert_same(old, old)
+    try:
+        D.assert_same(old, new)
+        said = None
+    except AssertionError as e:
+        said = str(e)
+    count = int(said.split(" in ", 1)[1].split(" ", 1)[0]) if said else 0
+    return spark.createDataFrame([(count, said is None, True)], "differences long, same boolean, same_as_itself boolean")
 
 
 # Edits

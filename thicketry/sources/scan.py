@@ -155,12 +155,13 @@ def scan_contents(spark: SparkSession, root: str, excludes: list[str] = DEFAULT_
     return hash_entries(list_entries(spark, root, excludes), keep_content=True).where("content is not null").select("path", "content")
 
 
-def read_or_scan(spark: SparkSession, path: str, excludes: list[str] = DEFAULT_EXCLUDES) -> DataFrame:
-    """A saved tree if path is a file, a scan if it is a directory."""
+def read_or_scan(spark: SparkSession, path: str, excludes: list[str] = DEFAULT_EXCLUDES, max_depth: int | None = None) -> DataFrame:
+    """A saved tree if path is a file, a scan if it is a directory; nodes below max_depth are left out, of files as they are read."""
     if os.path.isdir(path):
-        return scan(spark, path, excludes)
+        nodes = scan(spark, path, excludes)
+        return nodes if max_depth is None else nodes.where(nodes["depth"] <= max_depth)
     if os.path.isfile(path) or "://" in path:
-        return treefile.read_tree(spark, path)
+        return treefile.read_tree(spark, path, max_depth)
     raise FileNotFoundError(path)
 
 

@@ -11,6 +11,7 @@ import json
 import locale
 import platform
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,16 +58,29 @@ def write_tree(nodes: DataFrame, path: str, excludes: list[str] = (), header: di
     files.join_parts(parts, path, head.encode(), comment(footer or make_footer()).encode())
 
 
+def row_stream(nodes: DataFrame) -> Iterator[bytes]:
+    """The rows alone, one after the other; the driver holds a partition of them at a time."""
+    rows = lines(nodes).join(nodes.select("path", post_order().alias("turn")), "path").orderBy("turn").select(F.col("line").cast("binary"))
+    for r in rows.toLocalIterator():
+        yield bytes(r[0]) + b"\0\n"
+
+
 def serialize(nodes: DataFrame) -> bytes:
     """The rows alone, for small trees."""
-    rows = lines(nodes).join(nodes.select("path", post_order().alias("turn")), "path").orderBy("turn").select(F.col("line").cast("binary"))
-    return b"".join(bytes(r[0]) + b"\0\n" for r in rows.collect())
+    return b"".join(row_stream(nodes))
+
+
+def _after_comments(value: Column) -> Column:
+    """What follows the comment lines that a value begins with. The place is that of the first line feed without a # after it: cut by place, the
+    bytes of names stay as they are, and no header is too long."""
+    at = F.instr(F.replace(value, F.lit("\n#"), F.lit("\0#")), "\n")
+    return F.when(~value.startswith("#"), value).when(at == 0, F.lit("")).otherwise(value.substr(at + 1, F.length(value)))
 
 
 def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """tree (file), seq, and the fields of every row, in no order but seq; a row that can't be read fails the job."""
     raw = spark.read.option("lineSep", "\0\n").text([files.uri(p) for p in paths])
-    raw = raw.select(F.input_file_name().alias("tree"), F.monotonically_increasing_id().alias("seq"), F.when(F.col("value").startswith("#"), F.regexp_replace("value", r"^(?:#[^\n]*\n)+", "")).otherwise(F.col("value")).alias("row"))
+    raw = raw.select(F.input_file_name().alias("tree"), F.monotonically_increasing_id().alias("seq"), _after_comments(F.col("value")).alias("row"))
     return parse_rows(raw.where("row <> ''"))
 
 
@@ -91,10 +105,15 @@ def parse_rows(raw: DataFrame) -> DataFrame:
         F.coalesce(number(5), F.lit(1)).alias("nnodes"),
         F.when(error, after(F.col("row"), F.substring_index("row", "\t", 3))).otherwise(F.substring_index(rest, "\0", 1)).alias("name"),
         F.when(~error & (cut > 0), rest.substr(cut + 2, F.length(rest))).alias("link_target"),
-        F.when(error, F.regexp_replace(F.get(short, F.lit(2)), '^"|"$', "")).alias("err_msg"),
+        F.when(error, _unquoted(F.get(short, F.lit(2)))).alias("err_msg"),
     )
 
 
+def _unquoted(text: Column) -> Column:
+    inner = F.when(text.startswith('"'), text.substr(F.lit(2), F.length(text))).otherwise(text)
+    return F.when(inner.endswith('"'), inner.substr(F.lit(1), F.length(inner) - 1)).otherwise(inner)
+
+
 def rebuild_paths(rows: DataFrame) -> DataFrame:
     """rows (tree, seq, depth, name, …) with path and parent: in post-order an ancestor is the next row of its depth.
 
@@ -115,16 +134,27 @@ def rebuild_paths(rows: DataFrame) -> DataFrame:
     return met.withColumn("parent", parent).withColumn("path", F.concat_ws("/", "parent", "name")).drop("chunk", *[f"{p}{k}" for p in ("near", "later") for k in levels])
 
 
-def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """The node frame of one file; error rows stay. A file without rows gives one error node."""
-    rows = rebuild_paths(read_rows(spark, path)).select(*M.NODE_COLUMNS)
-    if rows.take(1):
-        return rows
+def read_tree(spark: SparkSession, path: str, max_depth: int | None = None, rows: Column | None = None) -> DataFrame:
+    """The node frame of one file; error rows stay. A file without rows gives one error node.
+
+    max_depth and rows (a condition on type, depth, hash, mtime, nbytes, nnodes and name) drop rows as they are read, before any path is rebuilt; directories
+    are needed for that and dropped afterwards.
+    """
+    found = read_rows(spark, path)
+    if max_depth is not None:
+        found = found.where(F.col("depth") <= max_depth)
+    if rows is not None:
+        found = found.where((F.col("type") == "D") | rows)
+    whole = rebuild_paths(found).select(*M.NODE_COLUMNS)
+    if rows is not None:
+        whole = whole.where(rows)
+    if whole.take(1) or root_row(spark, path).take(1):
+        return whole
     return spark.createDataFrame([(path, None, path.rsplit("/", 1)[-1], 0, "E", M.ERROR_HASH, 0, 0, 1, None, "no rows parsed")], M.NODE_SCHEMA)
 
 
 def read_header(path: str) -> dict:
-    """The header's values, however short the file is."""
+    """The header's values, however short the file or long the header is."""
     text, at = b"", 0
     while True:
         block = files.read_bytes(path, at, 1 << 16)
@@ -135,8 +165,19 @@ def read_header(path: str) -> dict:
             return _json(lines_[: len(lines_) if stop is None else stop])
 
 
-def read_footer(path: str, size: int = 10_000) -> dict:
-    return _json(files.read_bytes(path, -size).rsplit(b"\0\n", 1)[-1].split(b"\n"))
+def _tail(path: str, marks: int) -> bytes:
+    """The end of the file from its `marks`-th row end from behind on, all of it if it has fewer: read in growing pieces."""
+    size = 1 << 13
+    while True:
+        text = files.read_bytes(path, -size)
+        parts = text.rsplit(b"\0\n", marks)
+        if len(parts) > marks or len(text) < size:
+            return b"\0\n".join(parts[1:] if len(parts) > marks else parts)
+        size *= 4
+
+
+def read_footer(path: str) -> dict:
+    return _json(_tail(path, 1).split(b"\n"))
 
 
 def _json(comments: list[bytes]) -> dict:
@@ -145,12 +186,20 @@ def _json(comments: list[bytes]) -> dict:
 
 
 def root_row(spark: SparkSession, path: str) -> DataFrame:
-    return read_rows(spark, path).where("depth = 0")
+    """The fields of the last row, which is the root's, from the end of the file alone; no row if there is none."""
+    last = _tail(path, 2)
+    raw = spark.createDataFrame([(path, 0, last.rsplit(b"\0\n", 1)[0] if b"\0\n" in last else b"")], "tree string, seq long, row binary")
+    return parse_rows(raw.withColumn("row", _after_comments(F.col("row").cast("string"))).where("row <> ''"))
 
 
 def tree_size(spark: SparkSession, path: str) -> int:
     return root_row(spark, path).first()["nnodes"]
 
 
+def read_file(spark: SparkSession, path: str) -> tuple[dict, DataFrame, dict]:
+    """(header, node frame, footer) of one file."""
+    return read_header(path), read_tree(spark, path), read_footer(path)
+
+
 def byte_length(c: Column) -> Column:
     return F.octet_length(c)
