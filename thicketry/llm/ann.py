@@ -89,7 +89,7 @@ _BLOCKS = "block long, dims int, class int, n int, ids binary, ends binary, data
 
 
 def _blocks(rows: DataFrame, k: int) -> DataFrame:
-    """Distinct vectors in blocks: for each vector its k + 1 smallest ids (ids, n + 1 ends), and the numbers (data)."""
+    """Distinct vectors in blocks of near strings (of the first tree): for each vector its k + 1 smallest ids (ids, n + 1 ends), and the numbers (data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 24, 0
@@ -125,9 +125,18 @@ def _blocks(rows: DataFrame, k: int) -> DataFrame:
         for key in list(open_):
             yield block(key)
 
+    def first_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("dims").to_numpy()
+            for dims in np.unique(every).tolist():
+                some = batch.take(pa.array(np.flatnonzero(every == dims)))
+                yield some.append_column("string", pa.array(strings(some.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), 1)[:, 0]))
+
     same = Window.partitionBy("dims", "class", "embedding").orderBy("vec_id")
-    least = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
-    return least.select("vec_id", "embedding", "dims", "class").mapInArrow(run, _BLOCKS)
+    least = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).select("vec_id", "embedding", "dims", "class")
+    keys = ["dims", "class", "string", "embedding"]
+    placed = least.mapInArrow(first_strings, "vec_id long, embedding array<double>, dims int, class int, string int").repartitionByRange(*keys)
+    return placed.sortWithinPartitions(*keys, "vec_id").select("vec_id", "embedding", "dims", "class").mapInArrow(run, _BLOCKS)
 
 
 _CELL = "dims int, class int, tree int, cell int, kind int, codes binary, numbers binary, ups binary"
@@ -289,10 +298,25 @@ def _scored(found: DataFrame, blocks: DataFrame, asked: DataFrame, k: int) -> Da
     """The k best of each query in each block that it meets."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block and query once a task."""
+        held: dict[tuple[int, int], list[bytes]] = {}
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (block, part), queries in held.items():
+                who = np.unique(np.frombuffer(b"".join(queries), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), block)), pa.array(np.full(len(who), part, np.int32)), pa.array(who)], ["block", "part", "vec_id"])
+            held.clear()
+
         for batch in batches:
             for block, part, queries in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "queries"))):
                 who = np.unique(np.frombuffer(queries, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), block)), pa.array(np.full(len(who), part, np.int32)), pa.array(who)], ["block", "part", "vec_id"])
+                held.setdefault((block, part), []).append(who.tobytes())
+                n += len(who)
+                if n > 1 << 23:
+                    yield from flush()
+                    n = 0
+        yield from flush()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
