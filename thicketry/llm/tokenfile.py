@@ -2,7 +2,7 @@
 
 A file holds one run of consecutive documents (ascending id) as one stream of ids, cut into sequences of a fixed
 length: record batches of two columns, `ids` (fixed-size list of unsigned integers) and `mask` (fixed-size list of
-booleans: false where the last sequence is padded with zeros). Batches hold BATCH sequences each but the last, so
+bytes: 1, and 0 where the last sequence is padded with zeros). Batches hold BATCH sequences each but the last, so
 sequence i lies in batch i // BATCH at row i % BATCH: random access without a scan, and, through a memory map,
 without a copy. Beside it lies an index file with (doc_id, start, n_tokens), starts counted in the file.
 
@@ -44,7 +44,7 @@ class SequenceWriter:
     def __init__(self, uri: str, dtype: np.dtype, length: int, batch: int = BATCH):
         fs, path = _file_system(uri)
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"batch": str(batch)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], {"batch": str(batch)})
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sink, self.index_sink = fs.open_output_stream(path), fs.open_output_stream(path + ".index")
         self.out, self.index = pa.ipc.new_stream(self.sink, self.schema), pa.ipc.new_stream(self.index_sink, self.index_schema)
@@ -71,7 +71,7 @@ class SequenceWriter:
         for at in range(0, whole, step):
             ids = np.frombuffer(data[at : min(at + step, whole)], self.dtype)
             rows = -(-len(ids) // self.length)
-            mask = np.arange(rows * self.length) < len(ids)
+            mask = (np.arange(rows * self.length) < len(ids)).astype(np.uint8)
             ids = np.pad(ids, (0, rows * self.length - len(ids)))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
@@ -96,42 +96,44 @@ class SequenceFile:
         reader = pa.ipc.open_stream(self._source)
         self.length = reader.schema.field("ids").type.list_size
         self.batch = int(reader.schema.metadata[b"batch"])
-        self.batches = list(reader)
+        self.sizes = []
+        self.views: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in reader:
+            self.sizes.append(batch.num_rows)
+            self.views.append(tuple(batch.column(c).flatten().to_numpy().reshape(-1, self.length) for c in ("ids", "mask")))
         with fs.open_input_file(path + ".index") as f:
             self.index = pa.ipc.open_stream(f).read_all()
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
-
-    def _values(self, k: int, column: str) -> pa.Array:
-        return self.batches[k].column(column).flatten()
+        return sum(self.sizes)
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._values(i // self.batch, "ids").to_numpy()[i % self.batch * self.length :][: self.length]
+        return self.views[i // self.batch][0][i % self.batch]
 
     def mask(self, i: int) -> np.ndarray:
-        bits = self._values(i // self.batch, "mask").slice(i % self.batch * self.length, self.length)
-        return bits.to_numpy(zero_copy_only=False)  # bits have no array view of their own
+        return self.views[i // self.batch][1][i % self.batch]
+
+    def tokens(self, start: int, n: int) -> np.ndarray:
+        """n ids from place `start` of the file on; a view where one sequence holds them."""
+        parts = []
+        for i in range(start // self.length, -(-(start + n) // self.length)):
+            inside = slice(max(0, start - i * self.length), min(self.length, start + n - i * self.length))
+            if not self.mask(i)[inside].all():
+                raise ValueError("the index leads to padding")
+            parts.append(self.sequence(i)[inside])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start, ids) in order; ids are a view unless they run over a batch's end."""
-        step = self.length * self.batch
-        views = [self._values(k, "ids").to_numpy() for k in range(len(self.batches))]
+        """(doc_id, start, ids) in order."""
         for batch in self.index.to_batches():
             for doc_id, start, n in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = []
-                at, end = start, start + n
-                while at < end:
-                    k = at // step
-                    parts.append(views[k][at - k * step : end - k * step])
-                    at += len(parts[-1])
-                yield doc_id, start, parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
+                yield doc_id, start, self.tokens(start, n)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, end_id: int | None = END_ID, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the documents' ids in ascending doc_id order; the manifest (part, seq, path, n_docs, n_tokens), in file order by part, seq.
 
-    Null text: the end id alone. Null ids come first; equal ids are ordered by text, equal rows are written as often
+    Null text: the end id alone. Null ids come first; the order of equal ids is that of common.in_order, equal rows are written as often
     as they occur. An empty table gives an empty manifest. Other columns are ignored.
     """
 
@@ -162,7 +164,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, length: int = LEN
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip(("part", "seq", "path", "n_docs", "n_tokens"), zip(*rows))), pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = common.id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = common.in_order(common.id_text(docs, id_col, text_col))
     return common.written(ordered.mapInArrow(run, MANIFEST), "tokens-manifest")
 
 
