@@ -164,6 +164,50 @@ def test_packing(spark, edge, edge_rows, none):
     assert packing.pack(none, WORD).count() == 0
 
 
+def test_padding_does_not_grow_with_partitions(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    for n in (1, 211):
+        rows = packing.pack(docs.repartition(n), WORD).selectExpr("length", "sequence_id").collect()
+        used = sum(r["length"] for r in rows)
+        assert len({r["sequence_id"] for r in rows}) * 2048 < 1.02 * used
+
+
+def test_packing_query_holds_its_contract(spark):
+    lib = library()
+    docs = {r["doc_id"]: lib.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in packing.op4_packing(spark, "/root/testdata/sf0.001").collect():
+        own = docs[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == crc(own[r["start"] : r["start"] + r["length"]])
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans, size in [(v, len(docs[k])) for k, v in by_doc.items()] + [(v, None) for v in by_sequence.values()]:
+        at = 0
+        for start, n in sorted(spans):
+            assert start == at
+            at += n
+        assert at == size if size is not None else at <= 2048
+    assert by_doc.keys() == docs.keys()
+
+
+def test_byte_bpe_query_equals_tiktoken(spark):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {r["doc_id"]: r["text"] or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    rows = bytebpe.op3_byte_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = lib.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", ["op1_token_files", "op3_byte_bpe", "op4_packing"])
 def test_queries_read_every_document(spark, name):
     from thicketry.llm.catalog import QUERIES

@@ -7,7 +7,9 @@ their imbalances opposed (fullest slot upon emptiest), until one partition is le
 equal. k starts at the least count that could hold the items and rises by one whenever a window exceeds its
 capacity.
 
-Items are packed in groups within a task, in the order of arrival: no shuffle, memory bound by the group.
+Items are packed in groups within a task, in the order of arrival: memory is bound by the group. What is too little for a group at the end of a
+partition (a group's worth at most) is packed with that of the others in a second pass, so that padding doesn't grow
+with the number of partitions; only these pieces are shuffled.
 """
 
 from __future__ import annotations
@@ -102,38 +104,44 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int | No
     gives no rows. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(found: list[list[int]], items: list[tuple], size: int, first: int) -> list[tuple]:
+        rows = []
+        for sequence, members in enumerate(found, first):
+            offset = 0
+            for i in members:
+                doc_id, start, ids, total = items[i]
+                rows.append((doc_id, start, ids, total, sequence, offset))
+                offset += len(ids) // size
+        return rows
+
+    def batch(rows: list[tuple], dtype: np.dtype) -> pa.RecordBatch:
+        doc, start, ids, total, seq, offset = zip(*rows)
+        words = [np.frombuffer(x, dtype).astype("<u4").tobytes() for x in ids]
+        long = lambda x: pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([long(doc), long(start), long([len(x) // 4 for x in words]), long(total), long(seq), long(offset), pa.array(words, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+    class Groups:
+        """Items, packed as soon as there are `group` of them."""
+
+        def __init__(self, dtype: np.dtype, base: int):
+            self.dtype, self.sequence = dtype, base
+            self.items: list[tuple] = []  # doc_id, start, ids, doc_tokens
+            self.rise = 0  # by how much the last group's count exceeded the least one: where the next group starts, less one
+
+        def flush(self) -> list[tuple]:
+            sizes = [len(x[2]) // self.dtype.itemsize for x in self.items]
+            found = windows(sizes, window, max(0, self.rise - 1))
+            self.rise = len(found) + (sum(sizes) // -window)
+            rows = rows_of(found, self.items, self.dtype.itemsize, self.sequence)
+            self.sequence += len(found)
+            self.items.clear()
+            return rows
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = wordbpe.encoder(tokenizer)
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         size = enc.dtype.itemsize
-        base = TaskContext.get().partitionId() << 40
-        sequence = 0
-        items: list[tuple] = []  # doc_id, start, ids, doc_tokens
-
-        rise = 0  # by how much the last group's count exceeded the least one: where the next group starts, less one
-
-        def flush() -> list[tuple]:
-            nonlocal sequence, rise
-            rows = []
-            sizes = [len(x[2]) // size for x in items]
-            found = windows(sizes, window, max(0, rise - 1))
-            rise = len(found) + (sum(sizes) // -window)
-            for members in found:
-                offset = 0
-                for i in members:
-                    doc_id, start, ids, total = items[i]
-                    rows.append((doc_id, start, ids, total, base + sequence, offset))
-                    offset += len(ids) // size
-                sequence += 1
-            items.clear()
-            return rows
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            doc, start, ids, total, seq, offset = zip(*rows)
-            words = [np.frombuffer(x, enc.dtype).astype("<u4").tobytes() for x in ids]
-            long = lambda x: pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([long(doc), long(start), long([len(x) // 4 for x in words]), long(total), long(seq), long(offset), pa.array(words, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-
+        groups = Groups(enc.dtype, TaskContext.get().partitionId() << 32)
         for part in common.chunks(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(part.column("text"))):
@@ -141,20 +149,34 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int | No
                 total = len(ids) // size
                 full = total // window * window
                 for start in range(0, full, window):
-                    rows.append((doc_id, start, ids[start * size : (start + window) * size], total, base + sequence, 0))
-                    sequence += 1
+                    rows.append((doc_id, start, ids[start * size : (start + window) * size], total, groups.sequence, 0))
+                    groups.sequence += 1
                 if rest := total - full:
                     parts = -(-rest // grain)
                     cuts = [full + rest * i // parts for i in range(parts + 1)]
-                    items += [(doc_id, a, ids[a * size : b * size], total) for a, b in zip(cuts, cuts[1:])]
-                if len(items) >= group:
-                    rows += flush()
+                    groups.items += [(doc_id, a, ids[a * size : b * size], total) for a, b in zip(cuts, cuts[1:])]
+                if len(groups.items) >= group:
+                    rows += groups.flush()
             if rows:
-                yield batch(rows)
-        if items:
-            yield batch(flush())
-
-    return common.id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+                yield batch(rows, enc.dtype)
+        if groups.items:  # too few for a group: left to the second pass
+            yield batch([(*x, None, None) for x in groups.items], enc.dtype)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype = np.dtype("<u4")
+        groups = Groups(dtype, (1 << 62) + (TaskContext.get().partitionId() << 32))
+        for rows in batches:
+            for at in range(0, rows.num_rows, group):
+                groups.items += zip(*(rows.column(c).to_pylist()[at : at + group] for c in ("doc_id", "start", "ids", "doc_tokens")))
+                if len(groups.items) >= group:
+                    yield batch(groups.flush(), dtype)
+        if groups.items:
+            yield batch(groups.flush(), dtype)
+
+    pieces = common.written(common.id_text(docs, id_col, text_col).mapInArrow(first, SCHEMA), "packing")
+    left = pieces.where("sequence_id is null")
+    tasks = max(1, left.count() // (8 * group))
+    return pieces.where("sequence_id is not null").unionByName(left.repartition(tasks).mapInArrow(second, SCHEMA))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
