@@ -67,6 +67,78 @@ def test_accepted_languages_are_alike(spark):
     assert langid.accepted(short, prototypes, least).count() >= 0.95 * len(words)
 
 
+def test_ftrl_equals_definition():
+    """Coordinate by coordinate, as the update rule states it."""
+    rng = np.random.default_rng(5)
+    rows = [(np.unique(rng.integers(0, 30, 6)), int(rng.random() < 0.4)) for _ in range(80)]
+    a, b, l1, l2 = 0.7, 1.0, 0.3, 1.5
+    z, n = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        penalty = 0 if i == 32 else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * penalty) / ((b + n[i] ** 0.5) / a + (0 if i == 32 else l2))
+
+    for _ in range(2):
+        for own, y in rows:
+            own = [*own.tolist(), 32]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in own:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a * w[i]
+                n[i] += g * g
+    model = toxicity.ftrl(rows, bits=5, epochs=2, alpha=a, beta=b, l1=l1, l2=l2)
+    assert np.allclose(model.dense(), [weight(i) for i in range(32)]) and np.isclose(model.bias, weight(32))
+
+
+def test_scores_equal_definition(spark):
+    """The query's model, scored again document by document from its words."""
+    docs = common.table(spark, SMALL, "documents")
+    model = toxicity.train(docs, common.table(spark, SMALL, "labels").where(~toxicity.held_out()))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    import pyarrow as pa
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.op10_toxicity(spark, SMALL).collect():
+        _, own = toxicity.features(pa.array([texts[r["doc_id"]]]))
+        total = model.bias + sum(weight.get(i, 0.0) for i in set(own.tolist()))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_languages_equal_definition(spark):
+    """Prototypes and cosines again, a letter and a trigram at a time, without the operator's counts."""
+    docs = [r for r in common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").collect()]
+    letters, table = langid.letter_vectors(256), langid.symbols()
+
+    def vector(text):
+        words = "".join(c if table[ord(c)] else " " for c in text).split()
+        s = [0] + [x for w in words for x in (*(int(table[ord(c)]) for c in w), 0)]
+        total, n = np.zeros(256), 0
+        for a, b, c in zip(s, s[1:], s[2:]):
+            if b or (a and c):
+                total += letters[0][a] * letters[1][b] * letters[2][c]
+                n += 1
+        return total, n
+
+    known = {r["doc_id"]: vector(r["text"]) for r in docs}
+    prototypes = {}
+    for r in docs:
+        if r["lang"] is not None and known[r["doc_id"]][1]:
+            v, n = known[r["doc_id"]]
+            prototypes[r["lang"]] = prototypes.get(r["lang"], 0) + v / n
+    df = spark.createDataFrame([tuple(r) for r in docs], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in langid.predict(df, langid.train(df, dimensions=256)).collect()}
+    assert len(prototypes) > 1
+    for d, (v, n) in known.items():
+        if not n:
+            assert found[d]["lang_pred"] == "und"
+            continue
+        cosines = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in prototypes.items()}
+        assert abs(found[d]["score"] - max(0, max(cosines.values()))) < 1e-4
+        assert cosines[found[d]["lang_pred"]] > max(cosines.values()) - 1e-4
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(0)
     rows = []
@@ -100,6 +172,7 @@ def test_toxicity_edges(spark, edge, none):
     assert toxicity.accepted(edge, model).schema == edge.schema
     untrained = toxicity.train(edge, labels.where("toxic > 5"))
     assert {r["score"] for r in toxicity.score(edge, untrained).collect()} == {0.5}
+    assert toxicity.accepted(edge, untrained).count() == langid.accepted(edge, {}).count() == edge.count()
     assert toxicity.score(none, model).count() == 0
 
 
@@ -127,6 +200,18 @@ def test_nearest_recall(spark):
     assert hits / sum(map(len, wanted.values())) >= 0.9
 
 
+def test_nearest_recall_with_differing_lengths(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(6000, 64)) * rng.choice([0.5, 1.0, 1.3], 6000)[:, None]
+    rows = list(enumerate(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    wanted = brute(rows, rows[::60], 20)
+    found = {}
+    for r in ann.search(df, df.where("vec_id % 60 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(found[q] & {i for i, _ in w}) / 20 for q, w in wanted.items()]) >= 0.9
+
+
 @pytest.mark.parametrize("few", [ann.FEW, 0])
 def test_nearest_edges(spark, few):
     rows = [(i, [float(i % 3), 1.0, float(i % 5)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 0.0]), (63, [float("nan"), 1.0, 0.0]), (64, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (5, [9.0, 9.0, 9.0]), (80, [1.0, 1.0, 1.0]), (80, [1.0, 1.0, 1.0])]

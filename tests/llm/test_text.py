@@ -41,7 +41,14 @@ def test_edit_test(spark, edge, edge_rows, none):
     one = spark.createDataFrame([(7, "abcd")], "doc_id long, text string")
     assert [tuple(r) for r in digest.edit_test(one).collect()] == edited([(7, "abcd")])
     docs = common.table(spark, SMALL, "documents")
-    assert sorted(map(tuple, digest.op7_digest(spark, SMALL).collect())) == sorted(edited([tuple(r) for r in docs.select("doc_id", "text").collect()]))
+    texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    rows = digest.op7_digest(spark, SMALL).collect()
+    assert sorted(tuple(r)[:7] for r in map(lambda r: [r[c.split()[0]] for c in digest.EDITED.split(", ")], rows)) == sorted(edited(texts))
+    groups = defaultdict(list)
+    for d, text in texts:
+        groups[digest.canonical(text)].append(d)
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in rows} == {d: (min(g), len(g)) for g in groups.values() for d in g}
+    assert any(len(g) > 1 for g in groups.values())
 
 
 def test_exact_groups(edge):
@@ -49,6 +56,14 @@ def test_exact_groups(edge):
     assert {(0, 0, 3), (4, 0, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3), (None, None, 1)} <= rows
 
 
+def test_one_fingerprint_of_different_texts(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "A  B"), (3, "c"), (4, "c"), (5, "d"), (None, "e"), (6, "xy")], "doc_id long, text string")
+    wanted = {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (3, 2), 5: (5, 1), None: (None, 1), 6: (6, 1)}
+    for digest_of in (digest._digest, lambda form: f"{len(form):032x}"):  # the second gives c, d and e one fingerprint
+        rows = digest.exact_groups(df, digest=digest_of).collect()
+        assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in rows} == wanted and len(rows) == 7
+
+
 # Similarity join
 
 
@@ -138,6 +153,21 @@ def test_representatives(edge):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([0, 1, 2, 3, None, 5, 6, 7, 8, 9, 10, 11, 12, 13], key=str)
 
 
+def test_representatives_of_texts_under_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, b.upper()), (4, None), (4, ""), (None, a), (5, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, setjoin.representatives(df, 5, (80, 100)).collect()), key=str)
+    assert found == sorted([(1, a), (2, b), (4, None), (None, a), (5, "x y")], key=str) or found == sorted([(1, a), (2, b), (4, ""), (None, a), (5, "x y")], key=str)
+
+
+def test_join_query_equals_brute_force(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    found = sorted((tuple(r) for r in setjoin.op8_ngram_join(spark, "/root/testdata/sf0.01").collect()), key=str)
+    assert found == brute_join(rows, 3, (90, 100))
+
+
 # Passages
 
 

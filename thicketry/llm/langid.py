@@ -200,16 +200,22 @@ def least_scores(docs: DataFrame, prototypes: dict[str, np.ndarray], quantile: f
 
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float | np.ndarray = 0.0, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """The documents with a language, at a score over `least` (one number, or those of least_scores); all columns as they were. Those without a letter go."""
+    """The documents with a language, at a score over `least` (one number, or those of least_scores); all columns as they were.
+
+    Null and empty texts and those without a letter go. Where no language was learned none can be rejected: all
+    documents stay. An empty table gives no rows.
+    """
     names = sorted(prototypes)
-    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else None
+    if not names:
+        return docs
+    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32)
     least = np.broadcast_to(least, SIZES)
     held: list[np.ndarray] = []
 
     def keep(texts: pa.Array) -> np.ndarray:
-        if names and not held:
+        if not held:
             held.append(letter_vectors(matrix.shape[1], seed))
-        lang, score, totals = _best(texts, names, matrix, held[0] if held else None)
+        lang, score, totals = _best(texts, names, matrix, held[0])
         return (lang != "und") & (score > least[_size(totals)])
 
     return common.kept_rows(docs, keep, text_col)

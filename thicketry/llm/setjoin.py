@@ -134,8 +134,8 @@ def search(sets: list[np.ndarray], t: tuple[int, int] = THRESHOLD, apart: np.nda
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, node, n_shingles. kind 1: block of the sketch (in n_shingles) and its counters."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("counters", pa.binary())])
+    """kind 0: doc_id, tk, node, n_shingles. kind 1: block of the sketch (in n_shingles) and its counters."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("counters", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -144,13 +144,13 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
             np.add.at(sketch, every.astype(np.int64), 1)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), part.column("tk"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
         if sketch.any():
             blocks = range(0, len(sketch), SKETCH_BLOCK)
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b // SKETCH_BLOCK for b in blocks], pa.int64()), pa.array([np.minimum(sketch[b : b + SKETCH_BLOCK], 0xFFFF).astype(np.uint16).tobytes() for b in blocks], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b // SKETCH_BLOCK for b in blocks], pa.int64()), pa.array([np.minimum(sketch[b : b + SKETCH_BLOCK], 0xFFFF).astype(np.uint16).tobytes() for b in blocks], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, node long, n_shingles long, counters binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, tk long, node long, n_shingles long, counters binary")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -348,35 +348,49 @@ def _links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, size: int, t:
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(find, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = WORDS, threshold: tuple[int, int] = THRESHOLD, limit: int = CLUSTER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (equal for equal sets), component_id: the least doc_id reachable by links.
-
-    Null and empty texts, and texts of white space, have no shingles and are linked with nothing; their component is their own id.
-    Every row keeps its place: repeated rows are copies in one component, a null id never names one (a component of null ids
-    alone has a null id). An empty table gives no rows. Other columns are ignored.
-    """
-    texts = common.id_text(docs, id_col, text_col)
+def _joined(docs: DataFrame, size: int, threshold: tuple[int, int], limit: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tk (hash of the text), n_shingles, node, component (a node; null without shingles), component_id."""
+    texts = common.id_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
     profile = common.written(_profile(texts, size), "profile")
     sketch = _sketch(profile)
     total = profile.where("kind = 0").agg(F.sum("n_shingles")).first()[0] or 0
     marks = _shared(texts, size, total)
     clusters = components(_chains(texts, sketch, marks, size, threshold))
     clusters = common.written(clusters, "clusters")
-    nodes = profile.where("kind = 0").select("doc_id", "n_shingles", "node")
-    joined = components(_links(texts, clusters, nodes, size, threshold, limit))
-    some = nodes.where("n_shingles > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = profile.where("kind = 0").select("doc_id", "tk", "n_shingles", "node")
+    linked = components(_links(texts, clusters, nodes, size, threshold, limit))
+    some = nodes.where("n_shingles > 0").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     some = common.written(some, "nodes")
     least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(least, "component").select("doc_id", "n_shingles", "node", "component_id")
-    none = nodes.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"))
+    out = some.join(least, "component").select("doc_id", "tk", "n_shingles", "node", "component", "component_id")
+    none = nodes.where("n_shingles = 0").select("doc_id", "tk", "n_shingles", "node", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none)
 
 
-def representatives(docs: DataFrame, size: int, threshold: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the least id; the same columns. Documents without shingles or without an
-    id stay. Of rows with one id, which name one document, one stays."""
-    first = join(docs, size, threshold, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+def join(docs: DataFrame, size: int = WORDS, threshold: tuple[int, int] = THRESHOLD, limit: int = CLUSTER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, node (equal for equal sets), component_id: the least doc_id reachable by links.
+
+    Null and empty texts, and texts of white space, have no shingles and are linked with nothing; their component is their own id.
+    Every row keeps its place: repeated rows are copies in one component, a null id never names one (a component of null ids
+    alone has a null id). An empty table gives no rows. Other columns are ignored.
+    """
+    return _joined(docs, size, threshold, limit, id_col, text_col).select("doc_id", "n_shingles", "node", "component_id")
+
+
+def representatives(docs: DataFrame, size: int, threshold: tuple[int, int], limit: int = CLUSTER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that of the least id (of its texts there, the one of the least hash); the same columns.
+
+    Documents without shingles or without an id stay. Of equal rows (id and text) one stays. Different texts under one id
+    are different documents: each stays unless its own component has another one. An empty table gives no rows.
+    """
+    rows = _joined(docs, size, threshold, limit, id_col, text_col).where("doc_id = component_id")
+    first = rows.where("component is not null").groupBy("component", F.col("doc_id").alias("__id")).agg(F.min("tk").alias("__key")).select("__id", "__key")
+    first = first.unionByName(rows.where("component is null").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__key"))).distinct()
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    keys = ["__id", "__key"]
+    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__key": key})
+    kept = keyed.join(first, keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(keyed.where("__id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ class Model:
     features: np.ndarray
     weights: np.ndarray
     bits: int = BITS
+    #: Labelled documents that it was fitted to.
+    rows: int = 0
 
     def dense(self) -> np.ndarray:
         out = np.zeros(1 << self.bits)
@@ -79,7 +81,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPO
             n[i] = ni + g * g
     every = weights(np.arange((1 << bits) + 1))
     used = np.flatnonzero(every[:-1])
-    return Model(float(every[-1]), used.astype(np.int32), every[used], bits)
+    return Model(float(every[-1]), used.astype(np.int32), every[used], bits, len(rows))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -99,14 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
         known = [(np.frombuffer(x, np.int32), y) for b in batches for x, y in zip(b.column("own").to_pylist(), b.column("label").to_pylist())]
         if known:
             m = ftrl(known, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(m.features, -1).astype(np.int32)), pa.array(np.append(m.weights, m.bias))], ["feature", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(m.features, [-1, -2]).astype(np.int32)), pa.array(np.append(m.weights, [m.bias, m.rows]))], ["feature", "weight"])
 
     texts = common.id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
     made = common.written(texts.mapInArrow(extract, "doc_id long, label int, own binary"), "toxicity-features")
     found = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "own").mapInArrow(fit, "feature int, weight double").toArrow()
     feature, weight = found["feature"].to_numpy(), found["weight"].to_numpy()
     own = feature >= 0
-    return Model(float(weight[~own].sum()), feature[own], weight[own], bits)
+    return Model(float(weight[feature == -1].sum()), feature[own], weight[own], bits, int(weight[feature == -2].sum()))
 
 
 def _scores(texts: pa.Array, dense: np.ndarray, model: Model) -> np.ndarray:
@@ -118,7 +120,10 @@ def _scores(texts: pa.Array, dense: np.ndarray, model: Model) -> np.ndarray:
 
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score below the limit, all columns as they were."""
+    """The documents that score below the limit, all columns as they were. A null text scores as an empty one. A model
+    that no labelled document taught rejects nothing; an empty table gives no rows."""
+    if not model.rows:
+        return docs
     held: list[np.ndarray] = []
 
     def keep(texts: pa.Array) -> np.ndarray:
