@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -61,9 +62,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Has Spark drop the shuffle files of tables that are written by now: it does so for plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Has Spark drop the shuffle files of tables that are written by now: it does so for plans that nobody holds any more,
+    which the JVM finds out in its second collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def in_order(texts: DataFrame) -> DataFrame:
