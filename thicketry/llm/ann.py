@@ -158,12 +158,23 @@ def _in_cells(codes: np.ndarray, numbers: np.ndarray, dims: int, class_: int, up
 
 
 def _index(blocks: DataFrame, trees: int) -> DataFrame:
-    """The forest: every vector in its cell of every tree."""
+    """The forest: every vector in its cell of every tree. Blocks that lie in one task share pieces, some BLOCK vectors each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush(key: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            codes, numbers = (np.concatenate(x) for x in zip(*held.pop(key)))
+            yield from _in_cells(codes, numbers, *key)
+
         for batch in batches:
             for number, dims, class_, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "dims", "class", "n", "data"))):
-                yield from _in_cells(strings(np.frombuffer(data, np.float64).reshape(n, dims), trees), (number << POS) + np.arange(n), dims, class_)
+                some = held.setdefault((dims, class_), [])
+                some.append((strings(np.frombuffer(data, np.float64).reshape(n, dims), trees), (number << POS) + np.arange(n)))
+                if sum(len(x) for _, x in some) >= BLOCK:
+                    yield from flush((dims, class_))
+        for key in list(held):
+            yield from flush(key)
 
     return blocks.select("block", "dims", "class", "n", "data").mapInArrow(run, _CELL)
 
@@ -413,7 +424,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     targets = large.groupBy("dims").agg(F.collect_list(F.struct("class", F.lit(0).alias("up"))).alias("targets"))
     asked = common.written(least.join(targets, "dims", "left").select("vec_id", "embedding", "dims", "targets"), "ann-queries")
     parts = max(1, -(-asked.count() // QUERIES))
-    index = common.written(_index(blocks.join(large.select("dims", "class"), ["dims", "class"], "left_semi"), trees), "ann-forest")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    indexed = blocks.join(F.broadcast(large.select("dims", "class")), ["dims", "class"], "left_semi")  # as many rows as there are classes
+    index = common.written(_index(indexed.coalesce(max(1, -(-total // (2 * BLOCK)))), trees), "ann-forest")
     levels = _levels(index.unionByName(_probes(asked, trees)), large)
     risen = common.written(asked.drop("targets").join(levels, "vec_id").select("vec_id", "embedding", "dims", "targets"), "ann-levels")
     small = blocks.join(classes.where(F.col("n") <= few).select("dims", "class"), ["dims", "class"], "left_semi")
