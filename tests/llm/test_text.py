@@ -149,7 +149,7 @@ def test_search_equals_brute_force_with_sides():
 
 def test_representatives(edge):
     kept = setjoin.representatives(edge, 5, (80, 100))
-    assert kept.columns == edge.columns
+    assert kept.columns == edge.columns and {r["__id"] for r in kept.collect()} == {1}
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([0, 1, 2, 3, None, 5, 6, 7, 8, 9, 10, 11, 12, 13], key=str)
 
 
@@ -409,3 +409,59 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
             assert math.isclose(after.agg({"length": "sum"}).first()[0], sum(r["doc_tokens"] for r in after.select("doc_id", "doc_tokens").distinct().collect()))
         before = after
+
+
+def test_pipeline_stages_equal_definitions(spark):
+    """Each filtering stage again, document by document."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from thicketry.llm import langid, toxicity
+
+    docs = common.table(spark, SMALL, "documents")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    model = toxicity.train(docs, common.table(spark, SMALL, "labels"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    clean = {d for d, r in rows.items() if model.bias + sum(weight.get(i, 0.0) for i in set(toxicity.features(pa.array([r["text"]]))[1].tolist())) < 0}
+    stages = dict(corpus_pipeline.STAGES)
+    assert ids(stages["toxicity"](spark, docs, SMALL)) == clean and 0 < len(clean) < len(rows)
+
+    odd = spark.createDataFrame([(10**6 + i, t, None, None, len(t)) for i, t in enumerate(["xq zvk wqj pfx kqz " * 30, "123 456", "", "жщ ыфц " * 40])], docs.schema)
+    more = docs.unionByName(odd)
+    prototypes = langid.train(more)
+    least = langid.least_scores(more, prototypes)
+    letters = langid.letter_vectors()
+    kept = set()
+    for r in more.collect():
+        v, n = langid.vectors(pa.array([r["text"]]), letters)
+        if n[0] and max(v[0] @ p for p in prototypes.values()) / np.linalg.norm(v[0]) > least[langid._size(n)[0]]:
+            kept.add(r["doc_id"])
+    found = ids(stages["language_id"](spark, more, SMALL))
+    assert found == kept and found >= set(rows) and not found & {10**6 + i for i in range(4)}
+
+    cut = {r["doc_id"]: r["text"] for r in stages["passages"](spark, docs, SMALL).collect()}
+    spans = defaultdict(list)
+    for r in passages.repeats(docs).collect():
+        spans[r["doc_id"]].append((r["start"], r["n_words"]))
+    for d, r in rows.items():
+        w = r["text"].split()
+        for a, n in sorted(spans[d], reverse=True):
+            del w[a : a + n]
+        assert cut.get(d, "").split() == w
+
+
+def test_pipeline_edges(spark, edge, none):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, SMALL)
+        rows = out.collect()
+        if name != "packing":
+            assert out.schema.names == edge.columns and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in edge.collect()}
+            assert {r["__id"] for r in rows} <= {1}
+        assert stage(spark, none, SMALL).count() == 0
+    unknown = edge.drop("lang").selectExpr("*", "cast(null as string) lang")
+    assert stages["language_id"](spark, unknown, SMALL).count() == edge.count()
+    assert sorted(str(r["doc_id"]) for r in stages["near_copies"](spark, edge, SMALL).collect()) == sorted(str(x) for x in (0, 1, 2, 3, None, 5, 6, 7, 8, 9, 10, 11, 12, 13))

@@ -2,13 +2,15 @@
 
 A document's set holds the hashes of its word shingles. Documents with equal sets are one node. The join is exact:
 
-1. One pass gives each document its node and, in a counting sketch of fixed size, how many documents have each shingle;
-   another marks the shingles that more than one document has.
-2. All sets are ordered by (mark, sketch count, hash), rarest first; shingles of one document alone go nowhere. Sets alike to the threshold share one of their first
-   |x| - ceil(t |x|) + 1 shingles, so only these are shuffled, as (shingle, node, size). Along each shingle's nodes,
-   sorted by size, neighbours close enough in size are chained: as many rows as nodes, never all pairs. Common shingles come last in
-   the order and so hardly ever appear here.
-3. Components of the chains are candidate clusters. Whole sets are fetched for their nodes alone, and each cluster is
+1. One pass marks the shingles that more than one document has, as bits. A set of n that is alike to another one shares
+   ceil(t n) of its shingles with it, so only nodes with that many marked ones go on, with those alone. (The marks are a filter of bounded
+   size: where they are full they let more through, and nothing else changes.)
+2. Among these, exact document frequencies are counted; shingles of one node alone go nowhere. All sets are ordered by
+   (frequency, hash), rarest first. Sets alike to the threshold share one of their first |x| - ceil(t |x|) + 1 shingles,
+   so only these are candidates' keys, as (shingle, node, size). Sizes fall into classes, a factor of 1/t each: in each class of a shingle all point to the least node, and
+   classes beside each other are linked by one row, if their nearest sizes allow. As many rows as nodes, never all pairs; counts and least nodes are combined
+   before the shuffle, and joins on them can be split.
+3. Components of these edges are candidate clusters. Whole sets are fetched for their nodes alone, and each cluster is
    searched by T-occurrence with DivideSkip: the short inverted lists of a document's shingles are merged, its long ones are
    probed by binary search for what the merge left, and documents that reach the required overlap are linked. Clusters too large for a task
    are cut by size, and what is still too large into blocks which meet pairwise.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -32,9 +34,6 @@ from .components import components
 WORDS = 3
 #: Similarity as a fraction, kept in whole numbers.
 THRESHOLD = (90, 100)
-#: Counters of the sketch, 4 bytes each (2 from each task). Collisions only disturb the order.
-SKETCH_BITS = 22
-SKETCH_BLOCK = 1 << 13
 #: Shingles of a cluster that one task searches at once, 8 bytes each.
 CLUSTER = 3_000_000
 
@@ -134,47 +133,22 @@ def search(sets: list[np.ndarray], t: tuple[int, int] = THRESHOLD, apart: np.nda
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, tk, node, n_shingles. kind 1: block of the sketch (in n_shingles) and its counters."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("counters", pa.binary())])
+    """doc_id, tk, node, n_shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for part in common.chunks(batches):
             sets = shingle_sets(part.column("text"), size)
-            every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-            np.add.at(sketch, every.astype(np.int64), 1)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), part.column("tk"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
-        if sketch.any():
-            blocks = range(0, len(sketch), SKETCH_BLOCK)
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b // SKETCH_BLOCK for b in blocks], pa.int64()), pa.array([np.minimum(sketch[b : b + SKETCH_BLOCK], 0xFFFF).astype(np.uint16).tobytes() for b in blocks], pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "kind int, doc_id long, tk long, node long, n_shingles long, counters binary")
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: 4 bytes for each of 2**SKETCH_BITS counters, whatever the input."""
-
-    def add(groups: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH_BLOCK, np.uint32)
-        for c in groups["counters"].to_pylist():
-            x = np.frombuffer(c, np.uint16)
-            total = np.minimum(total.astype(np.uint64) + x, 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"n_shingles": groups["n_shingles"][:1], "counters": pa.array([total.tobytes()], pa.binary())})
-
-    blocks = profile.where("kind = 1").select("n_shingles", "counters").groupBy("n_shingles").applyInArrow(add, "n_shingles long, counters binary").toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for k, c in zip(blocks["n_shingles"].to_pylist(), blocks["counters"].to_pylist()):
-        out[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK] = np.frombuffer(c, np.uint32)
-    return out
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "tk", "node", "n_shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, tk long, node long, n_shingles long")
 
 
 def _shared(docs: DataFrame, size: int, total: int) -> np.ndarray:
     """A mark for every shingle that two documents have, as bits: one for each shingle of the corpus, 128 MB at most.
 
     Documents send 32 bits of each shingle to the range of its first bits; there equal ones are found. Marks set for
-    others by chance only cost rows later on, and a shingle without a mark is in one document alone.
+    others by chance only cost rows later on, and a shingle without a mark is in one document alone. A range holds about four million
+    shingles, each once a task, so what one task reads doesn't grow with the corpus until there are 2**24 ranges.
     """
     bits = min(30, max(16, int(total).bit_length()))
     lead = min(bits - 6, max(4, int(total >> 22).bit_length()))  # about four million shingles a range
@@ -214,54 +188,73 @@ def _shared(docs: DataFrame, size: int, total: int) -> np.ndarray:
     return out
 
 
-def _chains(docs: DataFrame, sketch: np.ndarray, marks: np.ndarray, size: int, t: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) that hold every candidate cluster together."""
-    context = docs.sparkSession.sparkContext
-    shared, repeated = context.broadcast(sketch), context.broadcast(marks)
+def _prefix(n: int, known: int, t: tuple[int, int]) -> int:
+    """How many of a set's `known` shared shingles, rarest first, are keys: the n - known others come before them and meet no other set."""
+    return n + t[0] * n // -t[1] + 1 - (n - known)
+
+
+def _keys(docs: DataFrame, marks: np.ndarray, size: int, t: tuple[int, int]) -> DataFrame:
+    """shingle, node, size: the keys by which candidates meet."""
+    repeated = docs.sparkSession.sparkContext.broadcast(marks)
     shift = np.uint64(64 - (len(marks).bit_length() + 2))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in common.chunks(batches):
-            keys, nodes, sizes = [], [], []
+            held, nodes, sizes = [], [], []
             for own in shingle_sets(part.column("text"), size):
                 n = len(own)
-                if n and (node := node_of(own)) not in seen:
-                    seen.add(node)
-                    first = n + t[0] * n // -t[1] + 1
-                    spot = (own >> shift).astype(np.int64)
-                    own = own[(repeated.value[spot >> 3] >> (spot & 7).astype(np.uint8) & np.uint8(1)).astype(bool)]
-                    first -= n - len(own)  # those of this document alone come first, and meet no other
-                    if first <= 0:
-                        continue
-                    if first < len(own):
-                        counts = shared.value[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                        own = own[np.lexsort((own, counts))[:first]]
-                    keys.append(own)
+                if not n or (node := node_of(own)) in seen:
+                    continue
+                seen.add(node)
+                spot = (own >> shift).astype(np.int64)
+                own = own[(repeated.value[spot >> 3] >> (spot & 7).astype(np.uint8) & np.uint8(1)).astype(bool)]
+                if _prefix(n, len(own), t) > 0:
+                    held.append(own)
                     nodes.append(node)
                     sizes.append(n)
-            if keys:
-                each = [len(x) for x in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["shingle", "node", "size"])
+            if held:
+                each = [len(x) for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).astype(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["shingle", "node", "size"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        known: set[tuple[int, int]] = set()
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, v, s = (batch.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                k, v, s = (np.concatenate([[x], y]) for x, y in zip(last, (k, v, s)))
-            last = (k[-1], v[-1], s[-1])
-            near = (k[1:] == k[:-1]) & (v[1:] != v[:-1]) & (s[:-1].astype(np.int64) * t[1] >= s[1:].astype(np.int64) * t[0])
-            pairs = set(zip(v[:-1][near].tolist(), v[1:][near].tolist())) - known
-            if pairs:
-                if len(known) < 1 << 20:
-                    known |= pairs
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    rows = docs.select("text").mapInArrow(prefixes, "shingle long, node long, size int")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(chain, "a long, b long")
+            lists = batch.column("known")
+            own, df = (lists.flatten().field(f).to_numpy() for f in ("shingle", "df"))
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            held, nodes, sizes = [], [], []
+            for node, n, a, b in zip(batch.column("node").to_pylist(), batch.column("size").to_pylist(), ends, ends[1:]):
+                every, at = np.unique(own[a:b], return_index=True)  # a node may come from several tasks
+                count = _prefix(n, len(every), t)
+                if count > 0:
+                    held.append(every[np.lexsort((every, df[a:b][at]))[:count]])
+                    nodes.append(node)
+                    sizes.append(n)
+            if held:
+                each = [len(x) for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["shingle", "node", "size"])
+
+    rows = common.written(docs.select("text").mapInArrow(shared, "shingle long, node long, size int"), "shared-shingles")
+    df = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    known = rows.join(df.select("shingle", "df"), "shingle").groupBy("node", "size").agg(F.collect_list(F.struct("shingle", "df")).alias("known"))
+    return known.select("node", "size", "known").mapInArrow(first, "shingle long, node long, size int")
+
+
+def _class(size: Column, t: tuple[int, int]) -> Column:
+    """Sets alike lie in one class of size or in neighbouring ones."""
+    return F.floor(F.log(size) / float(np.log(t[1] / t[0]) * 1.0001)).cast("int")
+
+
+def _edges(keys: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) that hold every candidate cluster together."""
+    rows = common.written(keys.withColumn("class", _class(F.col("size"), t)), "join-keys")
+    group = ["shingle", "class"]
+    heads = rows.groupBy(*group).agg(F.min("node").alias("head"), F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n"))
+    heads = common.written(heads, "join-heads")
+    inside = rows.join(heads.where("n > 1").select(*group, "head"), group).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    after = heads.select("shingle", (F.col("class") - 1).alias("class"), F.col("head").alias("b"), F.col("least").alias("next"))
+    beside = heads.join(after, group).where((F.col("most").cast("long") * t[1] >= F.col("next").cast("long") * t[0]) & (F.col("head") != F.col("b"))).select(F.col("head").alias("a"), "b")
+    return inside.unionByName(beside).distinct()
 
 
 def _bitmap(nodes: DataFrame, bits: int = 23) -> np.ndarray:
@@ -280,8 +273,7 @@ def _deal(clusters: DataFrame, nodes: DataFrame, t: tuple[int, int], limit: int)
     about `limit` shingles; the last class of a part also visits the next one. A part that is larger still is cut into blocks by hash, and blocks meet
     pairwise. Only numbers move here, one row a node.
     """
-    width = float(np.log(t[1] / t[0]) * 1.0001)
-    own = clusters.join(nodes.select("node", F.col("n_shingles").alias("n")).distinct(), "node").withColumn("class", F.floor(F.log("n") / width).cast("int"))
+    own = clusters.join(nodes.select("node", F.col("n_shingles").alias("n")).distinct(), "node").withColumn("class", _class(F.col("n"), t))
     own = common.written(own, "cluster-nodes")
     weights = own.groupBy("component", "class").agg(F.sum("n").alias("weight"))
     before = Window.partitionBy("component").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # a row a class
@@ -351,13 +343,11 @@ def _links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, size: int, t:
 def _joined(docs: DataFrame, size: int, threshold: tuple[int, int], limit: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tk (hash of the text), n_shingles, node, component (a node; null without shingles), component_id."""
     texts = common.id_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
-    profile = common.written(_profile(texts, size), "profile")
-    sketch = _sketch(profile)
-    total = profile.where("kind = 0").agg(F.sum("n_shingles")).first()[0] or 0
+    nodes = common.written(_profile(texts, size), "profile")
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     marks = _shared(texts, size, total)
-    clusters = components(_chains(texts, sketch, marks, size, threshold))
+    clusters = components(_edges(_keys(texts, marks, size, threshold), threshold))
     clusters = common.written(clusters, "clusters")
-    nodes = profile.where("kind = 0").select("doc_id", "tk", "n_shingles", "node")
     linked = components(_links(texts, clusters, nodes, size, threshold, limit))
     some = nodes.where("n_shingles > 0").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     some = common.written(some, "nodes")
@@ -388,9 +378,10 @@ def representatives(docs: DataFrame, size: int, threshold: tuple[int, int], limi
     first = first.unionByName(rows.where("component is null").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__key"))).distinct()
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     keys = ["__id", "__key"]
-    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__key": key})
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of theirs clashes
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), key.alias("__key"), whole.alias("__row"))
     kept = keyed.join(first, keys, "left_semi").dropDuplicates(keys)
-    return kept.unionByName(keyed.where("__id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(keyed.where("__id is null")).select("__row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
