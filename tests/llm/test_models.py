@@ -108,16 +108,22 @@ def test_scores_equal_definition(spark):
 
 def test_languages_equal_definition(spark):
     """Prototypes and cosines again, a letter and a trigram at a time, without the operator's counts."""
-    docs = [r for r in common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").collect()]
-    letters, table = langid.letter_vectors(256), langid.symbols()
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").collect()
+    letters = langid.letter_vectors(256)
+    known_letters = {}
+
+    def letter(c):
+        if c not in known_letters:
+            known_letters[c] = letters.of(np.array([ord(c) if c else 0]))[0]
+        return known_letters[c]
 
     def vector(text):
-        words = "".join(c if table[ord(c)] else " " for c in text).split()
-        s = [0] + [x for w in words for x in (*(int(table[ord(c)]) for c in w), 0)]
+        words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        s = ["", *(x for w in words for x in (*w, ""))]
         total, n = np.zeros(256), 0
         for a, b, c in zip(s, s[1:], s[2:]):
             if b or (a and c):
-                total += letters[0][a] * letters[1][b] * letters[2][c]
+                total += letter(a)[letters.order][letters.order] * letter(b)[letters.order] * letter(c)
                 n += 1
         return total, n
 
@@ -139,6 +145,22 @@ def test_languages_equal_definition(spark):
         assert cosines[found[d]["lang_pred"]] > max(cosines.values()) - 1e-4
 
 
+def test_languages_of_large_scripts_are_told_apart(spark):
+    """Two languages of one script, each with a hundred words of its thousands of letters; vowel signs belong to words."""
+    rng = np.random.default_rng(8)
+    lists = {k: ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 4))) for _ in range(100)] for k in "pq"}
+    text = lambda k: "".join(rng.choice(lists[k], 40))
+    rows = [(i, text("pq"[i % 2]), "pq"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = langid.train(df.where("doc_id < 150"))
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df.where("doc_id >= 150"), prototypes).collect()}
+    assert sum(found[i] == "pq"[i % 2] for i in found) >= 0.9 * len(found)
+    import pyarrow as pa
+
+    _, grams = langid.trigram_stream(pa.array(["हिन्दी"]))
+    assert len(grams) == 6  # one word
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(0)
     rows = []

@@ -4,9 +4,9 @@ Every symbol (a letter, or the gap between words) has a fixed random vector of +
 (multiplies) its symbols' vectors, the first permuted twice, the second once, so order counts. A text's vector bundles (adds) the vectors of its trigrams, once for each occurrence; a language's prototype
 bundles those of its training texts. A document goes to the prototype with the greatest cosine.
 
-Symbols are a fixed, finite set: the gap, a-z, and SLOTS - 27 slots to which every other letter is hashed by its code
-point. All arithmetic is on counts of trigrams, so that a text's vector is one product of its sparse counts with the
-trigram vectors, made as they are needed.
+Symbols are the gap and all letters, by their code points in lower case; marks that combine with letters belong to words and are symbols
+as well. A symbol's vector comes from a hash of its code point, made when it is met, so every script has its own. All arithmetic is on
+counts of trigrams: a text's vector is one product of its counts with the vectors of the trigrams.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = 1024
-SLOTS = 64
 SEED = 7
+#: Bits of a code point in a trigram's key.
+POINT = 21
 #: Classes of lengths, the rows a class needs to have a least score of its own, and which part of what quantile that is.
 SIZES = 32
 ENOUGH = 50
@@ -34,40 +35,63 @@ _TABLE: np.ndarray | None = None
 
 
 def symbols() -> np.ndarray:
-    """Symbol of every code point: 0 for what is no letter, letters folded to lower case."""
+    """Symbol of every code point: 0 for what belongs to no word, letters folded to lower case."""
     global _TABLE
     if _TABLE is None:
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.uint32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
-                base = ord(low[0]) if len(low) == 1 else cp
-                table[cp] = base - 96 if 97 <= base <= 122 else 27 + (base * 2654435761 >> 7) % (SLOTS - 27)
+                table[cp] = ord(low) if len(low) == 1 else cp
+            elif cp >= 0x300 and unicodedata.category(c)[0] == "M":
+                table[cp] = cp
         _TABLE = table
     return _TABLE
 
 
-def letter_vectors(dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
-    """Three rows of vectors for the symbols: permuted twice, once, not at all."""
-    base = np.random.default_rng(seed).integers(0, 2, (SLOTS, dimensions)).astype(np.float32) * 2 - 1
-    order = np.random.default_rng(seed + 1).permutation(dimensions)
-    once = base[:, order]
-    return np.stack([once[:, order], once, base])
+class Letters:
+    """The vectors of symbols: random signs, the same for a code point everywhere."""
 
+    def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
+        if dimensions % 64:
+            raise ValueError("dimensions go by 64")
+        self.dimensions, self.seed = dimensions, seed
+        self.order = np.random.default_rng(seed).permutation(dimensions)
 
-def trigram_vectors(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    return letters[0][grams // (SLOTS * SLOTS)] * letters[1][grams // SLOTS % SLOTS] * letters[2][grams % SLOTS]
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """A row of +1 and -1 for each code point."""
+        words = self.dimensions // 64
+        with np.errstate(over="ignore"):
+            at = (points.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64)) + (np.uint64(self.seed) << np.uint64(40))
+            bits = common.mix64((at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
-def trigram_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, trigram) for every trigram with a letter in its middle or at both sides of a gap.
+def letter_vectors(dimensions: int = DIMENSIONS, seed: int = SEED) -> Letters:
+    return Letters(dimensions, seed)
+
+
+def trigram_vectors(grams: np.ndarray, letters: Letters) -> np.ndarray:
+    """Bound vectors: the first symbol's permuted twice, the second's once, the third's not at all."""
+    grams = grams.astype(np.int64)
+    parts = np.stack([grams >> 2 * POINT, grams >> POINT & (1 << POINT) - 1, grams & (1 << POINT) - 1])
+    points, place = np.unique(parts, return_inverse=True)
+    place = place.reshape(parts.shape)
+    base = letters.of(points)
+    once = base[:, letters.order]
+    return once[:, letters.order][place[0]] * once[place[1]] * base[place[2]]
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, trigram as a number in base len(points), points), for every trigram with a letter in its middle or at
+    both sides of a gap.
 
     Every document is set between gaps; runs of gaps are one gap.
     """
-    points = np.frombuffer("\x00".join(["", *texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = symbols()[points]
-    ends = np.flatnonzero(points == 0)
+    every = np.frombuffer("\x00".join(["", *texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = symbols()[every]
+    ends = np.flatnonzero(every == 0)
     if len(ends) != len(texts) + 1:  # texts hold NULs of their own
         lengths = np.array([len(t) for t in texts.to_pylist()], np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -77,70 +101,90 @@ def trigram_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[ends] = True
     doc[ends[1:-1]] = 1
     doc = np.cumsum(doc, dtype=np.int32)[keep]
-    s = found[keep].astype(np.int32)
-    grams = (s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:]
+    kept = found[keep]
+    met = np.zeros(0x110000, bool)
+    met[kept] = True
+    met[0] = True
+    points = np.flatnonzero(met)
+    local = np.zeros(0x110000, np.int32)
+    local[points] = np.arange(len(points))
+    s = local[kept].astype(np.int64)
+    grams = (s[:-2] * len(points) + s[1:-1]) * len(points) + s[2:]
     within = (doc[:-2] == doc[2:]) & ((s[1:-1] != 0) | ((s[:-2] != 0) & (s[2:] != 0)))
     within |= (doc[:-2] != doc[2:]) & (doc[:-2] == doc[1:-1]) & (s[1:-1] != 0)  # a last word's end
-    return doc[:-2][within], grams[within]
+    return doc[:-2][within], grams[within], points
+
 
+def _keys(grams: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Trigrams in base len(points) as keys of three code points."""
+    n = len(points)
+    points = points.astype(np.int64)
+    return points[grams // (n * n)] << 2 * POINT | points[grams // n % n] << POINT | points[grams % n]
 
-def vectors(texts: pa.Array, letters: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+
+def trigram_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, trigram's key) of every trigram."""
+    doc, grams, points = _grams(texts)
+    return doc, _keys(grams, points)
+
+
+def vectors(texts: pa.Array, letters: Letters, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Each text's vector, and the number of its trigrams."""
-    n, d = len(texts), letters.shape[2]
-    out, totals = np.zeros((n, d), np.float32), np.zeros(n, np.int64)
-    doc, grams = trigram_stream(texts)
+    n = len(texts)
+    out, totals = np.zeros((n, letters.dimensions), np.float32), np.zeros(n, np.int64)
+    doc, grams, points = _grams(texts)
+    dense = len(points) ** 3 <= 1 << 22
     cuts = np.searchsorted(doc, np.arange(0, n + block, block))
     for first, a, b in zip(range(0, n, block), cuts, cuts[1:]):
         rows = min(block, n - first)
-        seen = np.zeros(SLOTS**3, bool)
-        seen[grams[a:b]] = True
-        used = np.flatnonzero(seen)
-        place = np.zeros(SLOTS**3, np.int32)
-        place[used] = np.arange(len(used))
-        counts = np.bincount((doc[a:b] - first) * len(used) + place[grams[a:b]], minlength=rows * len(used)).reshape(rows, len(used)).astype(np.float32)
-        totals[first : first + rows] = counts.sum(1)
+        if dense:
+            seen = np.zeros(len(points) ** 3, bool)
+            seen[grams[a:b]] = True
+            used = np.flatnonzero(seen)
+            place = np.zeros(len(seen), np.int32)
+            place[used] = np.arange(len(used))
+            place = place[grams[a:b]]
+        else:
+            used, place = np.unique(grams[a:b], return_inverse=True)
+        totals[first : first + rows] = np.bincount(doc[a:b] - first, minlength=rows)
         for at in range(0, len(used), 4096):
-            out[first : first + rows] += counts[:, at : at + 4096] @ trigram_vectors(used[at : at + 4096], letters)
+            step = min(4096, len(used) - at)
+            mine = slice(None) if step == len(used) else (place >= at) & (place < at + step)
+            counts = np.bincount((doc[a:b][mine] - first) * step + (place[mine] - at), minlength=rows * step).reshape(rows, step).astype(np.float32)
+            out[first : first + rows] += counts @ trigram_vectors(_keys(used[at : at + step], points), letters)
     return out, totals
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes of all languages in the rows; rows without a language or text are left out.
 
-    Each task counts the trigrams of each language and sends them once; Spark adds them up. What comes to the
-    driver is bounded by languages times the trigrams of SLOTS symbols. Counts are bundled with each document at
-    the same weight, so that long texts don't decide alone.
+    Each task bundles its documents' vectors for each language, every document at the same weight, so that long texts don't
+    decide alone, and sends the sums once; Spark adds them up. What comes to the driver is languages times dimensions.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_vectors(dimensions, seed)
         sums: dict[str, np.ndarray] = {}
         for part in common.chunks(batches):
-            doc, grams = trigram_stream(part.column("text"))
-            totals = np.bincount(doc, minlength=part.num_rows)
-            weights = 1 / np.maximum(totals, 1)[doc]
+            x, totals = vectors(part.column("text"), letters)
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in set(langs):
-                mine = (langs == lang)[doc]
-                sums.setdefault(lang, np.zeros(SLOTS**3))
-                sums[lang] += np.bincount(grams[mine], weights[mine], SLOTS**3)
+                mine = np.flatnonzero((langs == lang) & (totals > 0))
+                sums.setdefault(lang, np.zeros(dimensions))
+                sums[lang] += (1 / totals[mine]) @ x[mine].astype(np.float64)
         for lang, x in sums.items():
-            used = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(x[used])], ["lang", "gram", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions, pa.string()), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(x)], ["lang", "place", "part"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     # rounded, so that the order in which tasks end can't change a prediction
-    found = rows.mapInArrow(count, "lang string, gram int, weight double").groupBy("lang", "gram").agg(F.sum(F.round("weight", 9).cast("decimal(28,9)")).cast("double").alias("weight")).toArrow()
-    letters = letter_vectors(dimensions, seed)
-    lang, gram, weight = np.array(found["lang"].to_pylist(), object), found["gram"].to_numpy(), found["weight"].to_numpy()
+    found = rows.mapInArrow(bundle, "lang string, place int, part double").groupBy("lang", "place").agg(F.sum(F.round("part", 9).cast("decimal(28,9)")).cast("double").alias("total")).toArrow()
+    lang, place, total = np.array(found["lang"].to_pylist(), object), found["place"].to_numpy(), found["total"].to_numpy()
     out = {}
     for name in sorted(set(lang)):
-        mine = np.flatnonzero(lang == name)
-        mine = mine[np.argsort(gram[mine])]
-        total = np.zeros(dimensions)
-        for at in range(0, len(mine), 4096):
-            part = mine[at : at + 4096]
-            total += weight[part] @ trigram_vectors(gram[part], letters).astype(np.float64)
-        out[name] = total / (np.linalg.norm(total) or 1)
+        mine = lang == name
+        x = np.zeros(dimensions)
+        x[place[mine]] = total[mine]
+        out[name] = x / (np.linalg.norm(x) or 1)
     return out
 
 
