@@ -303,8 +303,14 @@ def test_streaming_set(spark, tmp_path):
     ingest.update_set(ingest.node_stream(spark, source), out, mark).awaitTermination()
     frame(spark, Tree({"z": "1"})).write.mode("append").parquet(source)
     ingest.update_set(ingest.node_stream(spark, source), out, mark).awaitTermination()
-    notes = {r["note"] for r in spark.read.parquet(f"{out}/version=1").collect()}
+    notes = {r["note"] for r in ingest.read_set(spark, out).collect()}
     assert {"z", "y"} <= notes and "x" not in notes
+    for n in ("p", "q"):
+        frame(spark, Tree({n: "1"})).write.mode("append").parquet(source)
+        ingest.update_set(ingest.node_stream(spark, source), out, mark).awaitTermination()
+    left = ingest.read_set(spark, out).collect()
+    assert {r["note"] for r in left} >= {"q", "y"} and len({r["hash"] for r in left}) == len(left)
+    assert max(map(len, ingest._versions(out).values())) == 2
 
 
 def test_entry_without_the_optional_folders(tmp_path):
