@@ -7,8 +7,8 @@ cells, one for each first symbol, as sorted arrays; rows of all blocks and the q
 
 1. Descent: in each tree a query goes to the run of strings that share its first bits, for every number of bits at once (two binary searches each).
    The sizes of these runs are added up over the trees.
-2. Synchronous ascent: all trees of a query go up, bit by bit, until the runs hold `wanted` rows, counted with repetitions among trees:
-   a number that grows with the 3/4th power of the class. Runs are never cut.
+2. Synchronous ascent: all trees of a query go up, bit by bit, one after the other at the last bit, until the runs hold `wanted` rows, counted with
+   repetitions among trees: a number that grows with the 3/4th power of the class. Runs are never cut.
 3. The rows found go to their blocks, queries with them, each to those blocks alone; there each is scored once, exactly.
 
 Equal vectors are one row with the k + 1 smallest ids, which is all that a result can show. Classes of FEW vectors, and queries that found fewer
@@ -34,7 +34,7 @@ TREES = 128
 #: Axes that each symbol of a string chooses among, at most.
 AXES = (64, 8, 8)
 #: wanted = BREADTH * n ** 0.75 for a class of n vectors.
-BREADTH = 2.5
+BREADTH = 3.8
 #: Classes of up to this many vectors are scored whole.
 FEW = 512
 #: Lengths of a class differ by this factor at most; the last of CLASSES holds all that are shorter.
@@ -142,15 +142,17 @@ def _blocks(rows: DataFrame, k: int) -> DataFrame:
 _CELL = "dims int, class int, tree int, cell int, kind int, codes binary, numbers binary, ups binary"
 
 
-def _in_cells(codes: np.ndarray, numbers: np.ndarray, dims: int, class_: int, ups: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Strings (rows x trees) and numbers, one piece for each tree and first symbol. With ups they are queries, at those levels."""
+def _in_cells(codes: np.ndarray, numbers: np.ndarray, dims: int, class_: int, steps: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Strings (rows x trees) and numbers, one piece for each tree and first symbol. With steps they are queries: each step takes
+    the next tree one bit up."""
+    trees = codes.shape[1]
     rest = sum(_bits(dims)[1:])
     names = [c.split()[0] for c in _CELL.split(", ")]
     kinds = (pa.int32(),) * 5 + (pa.binary(),) * 3
-    for t in range(codes.shape[1]):
+    for t in range(trees):
         order = np.argsort(codes[:, t], kind="stable")
         own, who = codes[order, t], numbers[order].astype(np.int64)
-        up = None if ups is None else ups[order].astype(np.int8)
+        up = None if steps is None else (steps[order] // trees + (t < steps[order] % trees)).astype(np.int8)
         first = own >> rest
         cuts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]]))
         rows = [(dims, class_, t, int(first[a]), int(up is not None), own[a:b].tobytes(), who[a:b].tobytes(), None if up is None else up[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
@@ -180,7 +182,7 @@ def _index(blocks: DataFrame, trees: int) -> DataFrame:
 
 
 def _probes(asked: DataFrame, trees: int) -> DataFrame:
-    """Queries (vec_id, embedding, dims, targets: class, up) in the cells of their classes."""
+    """Queries (vec_id, embedding, dims, targets: class, steps) in the cells of their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +192,10 @@ def _probes(asked: DataFrame, trees: int) -> DataFrame:
                 codes = strings(some.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), trees)
                 who, targets = some.column("vec_id").to_numpy(), some.column("targets")
                 row = np.repeat(np.arange(len(who)), targets.value_lengths().to_numpy())
-                class_, up = (targets.flatten().field(f).to_numpy() for f in ("class", "up"))
+                class_, steps = (targets.flatten().field(f).to_numpy() for f in ("class", "steps"))
                 for c in np.unique(class_).tolist():
                     mine = class_ == c
-                    yield from _in_cells(codes[row[mine]], who[row[mine]], dims, c, up[mine])
+                    yield from _in_cells(codes[row[mine]], who[row[mine]], dims, c, steps[mine])
 
     return asked.where("targets is not null").select("vec_id", "embedding", "dims", "targets").mapInArrow(run, _CELL)
 
@@ -237,8 +239,8 @@ def _visit(pieces: DataFrame, work: Work, ddl: str) -> DataFrame:
     return pieces.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, ddl)
 
 
-def _levels(pieces: DataFrame, classes: DataFrame) -> DataFrame:
-    """vec_id, targets (class, up): by how many bits the trees of each query ascend from whole strings."""
+def _levels(pieces: DataFrame, classes: DataFrame, trees: int) -> DataFrame:
+    """vec_id, targets (class, steps): how many steps of a tree and a bit each query ascends from whole strings."""
     names = [f"n{up}" for up in range(1 + sum(max(1, (2 * a - 1).bit_length()) for a in AXES[1:]))]
 
     def work(dims: int, class_: int, cell: _Cell, codes: np.ndarray, who: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -247,10 +249,16 @@ def _levels(pieces: DataFrame, classes: DataFrame) -> DataFrame:
 
     found = _visit(pieces, work, "vec_id long, dims int, class int, " + ", ".join(f"{n} long" for n in names))
     sums = found.groupBy("vec_id", "dims", "class").agg(*(F.sum(n).alias(n) for n in names)).join(classes, ["dims", "class"])
-    level = F.lit(len(names) - 1)
-    for up in reversed(range(len(names) - 1)):
-        level = F.when(F.col(names[up]) >= F.col("wanted"), up).otherwise(level)
-    return sums.groupBy("vec_id").agg(F.collect_list(F.struct("class", level.alias("up"))).alias("targets"))
+    steps = F.lit((len(names) - 1) * trees)
+    for up in reversed(range(len(names))):
+        reached = F.col(names[up]) >= F.col("wanted")
+        if up:
+            below = F.col(names[up - 1])
+            part = F.ceil((F.col("wanted") - below) / (F.col(names[up]) - below) * trees)
+            steps = F.when(reached, (up - 1) * trees + F.least(part, F.lit(trees))).otherwise(steps)
+        else:
+            steps = F.when(reached, 0).otherwise(steps)
+    return sums.groupBy("vec_id").agg(F.collect_list(F.struct("class", steps.cast("int").alias("steps"))).alias("targets"))
 
 
 _FOUND = "block long, part int, queries binary, places binary"
@@ -421,13 +429,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     classes = common.written(blocks.groupBy("dims", "class").agg(F.sum("n").alias("n")).withColumn("wanted", F.ceil(breadth * F.pow("n", F.lit(0.75)))), "ann-classes")
     large = classes.where(F.col("n") > few)
     least = _valid(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dims", F.size("embedding"))
-    targets = large.groupBy("dims").agg(F.collect_list(F.struct("class", F.lit(0).alias("up"))).alias("targets"))
+    targets = large.groupBy("dims").agg(F.collect_list(F.struct("class", F.lit(0).alias("steps"))).alias("targets"))
     asked = common.written(least.join(targets, "dims", "left").select("vec_id", "embedding", "dims", "targets"), "ann-queries")
     parts = max(1, -(-asked.count() // QUERIES))
     total = classes.agg(F.sum("n")).first()[0] or 0
     indexed = blocks.join(F.broadcast(large.select("dims", "class")), ["dims", "class"], "left_semi")  # as many rows as there are classes
     index = common.written(_index(indexed.coalesce(max(1, -(-total // (2 * BLOCK)))), trees), "ann-forest")
-    levels = _levels(index.unionByName(_probes(asked, trees)), large)
+    levels = _levels(index.unionByName(_probes(asked, trees)), large, trees)
     risen = common.written(asked.drop("targets").join(levels, "vec_id").select("vec_id", "embedding", "dims", "targets"), "ann-levels")
     small = blocks.join(classes.where(F.col("n") <= few).select("dims", "class"), ["dims", "class"], "left_semi")
     found = common.written(_candidates(index.unionByName(_probes(risen, trees)), parts).unionByName(_whole(small, asked, parts)), "ann-found")
