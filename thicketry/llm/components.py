@@ -26,7 +26,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: for every node of an edge between different nodes the least node it is connected with."""
+    """node, component: for every node of an edge between different nodes the least node it is connected with.
+
+    Repeated edges count once, edges with a null end or from a node to itself not at all; no edges, no rows. Each round's
+    table goes when the next one is written.
+    """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     now = common.written(now, "edges")
     before = None
@@ -36,6 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == state or not state[0]:
             break
         before = state
-        now = common.written(_star(_star(now, True), False), "edges")
+        later = common.written(_star(_star(now, True), False), "edges")
+        common.discard(now)
+        now = later
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

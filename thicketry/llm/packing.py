@@ -36,7 +36,7 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Deals items to k bins by multiway differencing; for each bin the item numbers. Bins may be empty.
+    """Deals items to k bins by multiway differencing; for each bin the item numbers. Bins may be empty; without items all are.
 
     A partial partition keeps its non-empty slots only, fullest first: (sums, nodes). Nodes are items or pairs of
     nodes, so a merge costs the number of its slots and no lists are copied.
