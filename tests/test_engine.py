@@ -294,6 +294,19 @@ def test_command_line(spark, folder, tmp_path, capsys):
         run("find", out, "--search-regex", "x", "--searches-json", "y")
 
 
+def test_generated_rows(spark):
+    from thicketry.sources import generated as G
+
+    made = G.tree(spark, 300, 4, dirs=3, depth=2, contents=100)
+    assert made.where("type = 'F'").count() == 300 and R.same_tree(made, G.tree(spark, 300, 4, dirs=3, depth=2, contents=100))
+    assert R.same_tree(made, R.rebuild(made)) and U.groups(made).count() > 0
+    rows = G.rows(spark, 200)
+    coded = treefile.lines(rows).select(F.lit("t").alias("tree"), F.lit(0).alias("seq"), F.col("line").alias("row"))
+    fields = ["type", "depth", "hash", "mtime", "nbytes", "nnodes", "err_msg"]
+    assert sorted(map(str, treefile.parse_rows(coded).select(*fields).collect())) == sorted(map(str, rows.select(*fields).collect()))
+    assert {r["type"] for r in rows.collect()} == set("FDE") and G.hash_set(spark, 50).count() > 50
+
+
 def test_streaming_set(spark, tmp_path):
     from thicketry.streaming import ingest
 
