@@ -322,6 +322,26 @@ def test_recall_of_near_passages(spark, n, changes):
     assert sum(covered[i] >= 0.9 * n for i in range(1, 200, 2)) >= 95
 
 
+def test_near_passages_around_a_line_of_many(spark):
+    """A line in more documents than a group holds whole; near repeats that contain it are found all the same."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    line = some(30)
+    texts = [some(30) + line + some(30) for _ in range(1500)]
+    for _ in range(50):
+        p = some(15) + line + some(15)
+        edit = list(p)
+        edit[rng.choice([*range(5, 15), *range(45, 55)])] = word()
+        texts += [some(30) + p + some(30), some(30) + edit + some(30)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    covered = Counter()
+    for r in passages.repeats(df).collect():
+        assert r["doc_id"] >= 1500 and r["doc_id"] % 2 and r["source_id"] == r["doc_id"] - 1
+        covered[r["doc_id"]] += r["n_words"]
+    assert sum(covered[i] >= 54 for i in range(1501, 1600, 2)) >= 45
+
+
 def test_different_texts_under_one_id(spark):
     word = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
     rows = [(1, word(1)), (2, word(2)), (2, word(1) + " own"), (2, word(1) + " own"), (3, word(2))]
