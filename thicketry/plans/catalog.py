@@ -391,9 +391,10 @@ def apply_deltas(spark, sf_dir):
     return D.apply(old, D.diff(old, new), new).select("path", "type", "hash", "mtime", "nbytes", "nnodes")
 
 
+_LOST = "t = 3 AND type <> 'F'"
 _LINKED = (
-    "SELECT * REPLACE (CASE WHEN t = 2 AND type = 'L' THEN 'B' WHEN t = 3 AND type <> 'F' THEN 'E' ELSE type END AS type, "
-    f"CASE WHEN t = 1 AND type <> 'F' THEN {O.dig("path || '!'")} WHEN t = 3 AND type <> 'F' THEN 'ERROR' ELSE hash END AS hash, CASE WHEN t = 3 AND type <> 'F' THEN 0 ELSE mtime END AS mtime, CASE WHEN t = 3 AND type <> 'F' THEN 0 ELSE nbytes END AS nbytes) EXCLUDE (t) "
+    f"SELECT path, CASE WHEN t = 2 AND type = 'L' THEN 'B' WHEN {_LOST} THEN 'E' ELSE type END AS type, "
+    f"CASE WHEN t = 1 AND type <> 'F' THEN {O.dig("path || '!'")} WHEN {_LOST} THEN 'ERROR' ELSE hash END AS hash, CASE WHEN {_LOST} THEN 0 ELSE mtime END AS mtime, CASE WHEN {_LOST} THEN 0 ELSE nbytes END AS nbytes "
     f"FROM (SELECT *, regexp_extract(path, '[0-9]+$')::BIGINT % 7 AS t FROM ({O.LEAVES['links'][0]}))"
 )
 
