@@ -147,11 +147,11 @@ def _shared(docs: DataFrame, size: int, total: int) -> np.ndarray:
     """A mark for every shingle that two documents have, as bits: one for each shingle of the corpus, 128 MB at most.
 
     Documents send 32 bits of each shingle to the range of its first bits; there equal ones are found. Marks set for
-    others by chance only cost rows later on, and a shingle without a mark is in one document alone. A range holds about four million
+    others by chance only cost rows later on, and a shingle without a mark is in one document alone. A range holds some 100,000
     shingles, each once a task, so what one task reads doesn't grow with the corpus until there are 2**24 ranges.
     """
     bits = min(30, max(16, int(total).bit_length()))
-    lead = min(bits - 6, max(4, int(total >> 22).bit_length()))  # about four million shingles a range
+    lead = min(bits - 6, max(4, int(total >> 17).bit_length()))  # some 100,000 shingles a range, so that tasks get even shares
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
