@@ -108,7 +108,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.flatnonzero(met)
     local = np.zeros(0x110000, np.int32)
     local[points] = np.arange(len(points))
-    s = local[kept].astype(np.int64)
+    s = local[kept].astype(np.int32 if len(points) ** 3 < 1 << 31 else np.int64)
     grams = (s[:-2] * len(points) + s[1:-1]) * len(points) + s[2:]
     within = (doc[:-2] == doc[2:]) & ((s[1:-1] != 0) | ((s[:-2] != 0) & (s[2:] != 0)))
     within |= (doc[:-2] != doc[2:]) & (doc[:-2] == doc[1:-1]) & (s[1:-1] != 0)  # a last word's end

@@ -167,7 +167,7 @@ def _shared(docs: DataFrame, size: int, total: int) -> np.ndarray:
         for part in common.chunks(batches):
             held += shingle_sets(part.column("text"), size)
             n += sum(map(len, held[-part.num_rows :]))
-            if n > 3_000_000:
+            if n > 1_000_000:
                 yield flush()
                 held, n = [], 0
         if n:

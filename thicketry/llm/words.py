@@ -18,7 +18,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     """The first n powers, kept from call to call."""
     known = _POWERS.get(int(base))
     if known is None or len(known) < n:
-        known = np.full(1 << max(21, int(n).bit_length()), base, np.uint64)
+        known = np.full(1 << max(19, int(n).bit_length()), base, np.uint64)
         known[0] = 1
         with np.errstate(over="ignore"):
             _POWERS[int(base)] = known = np.multiply.accumulate(known)
