@@ -88,7 +88,7 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 _BLOCKS = "block long, dims int, class int, n int, ids binary, ends binary, data binary"
 
 
-def _blocks(rows: DataFrame, k: int) -> DataFrame:
+def _blocks(rows: DataFrame, k: int, tasks: int) -> DataFrame:
     """Distinct vectors in blocks of near strings (of the first tree): for each vector its k + 1 smallest ids (ids, n + 1 ends), and the numbers (data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,9 @@ def _blocks(rows: DataFrame, k: int) -> DataFrame:
     least = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).select("vec_id", "embedding", "dims", "class")
     keys = ["dims", "class", "string", "embedding"]
     placed = least.mapInArrow(first_strings, "vec_id long, embedding array<double>, dims int, class int, string int").repartitionByRange(*keys)
-    return placed.sortWithinPartitions(*keys, "vec_id").select("vec_id", "embedding", "dims", "class").mapInArrow(run, _BLOCKS)
+    # few rows a partition would make many small blocks
+    whole = placed.sortWithinPartitions(*keys, "vec_id").select("vec_id", "embedding", "dims", "class").coalesce(tasks)
+    return whole.mapInArrow(run, _BLOCKS)
 
 
 _CELL = "dims int, class int, tree int, cell int, kind int, codes binary, numbers binary, ups binary"
@@ -423,9 +425,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     all. Empty tables give no rows.
     """
     rows = _valid(vectors, id_col, vector_col).distinct()
-    most = rows.groupBy("dims").agg(F.max("size").alias("most"))
+    most = common.written(rows.groupBy("dims").agg(F.max("size").alias("most"), F.count("*").alias("n")), "ann-dims")
+    tasks = max(1, -(-(most.agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK)))
     class_ = F.least(F.floor((F.col("most") - F.col("size")) / float(np.log(RATIO))), F.lit(CLASSES - 1)).cast("int")
-    blocks = common.written(_blocks(rows.join(most, "dims").withColumn("class", class_), k), "ann-blocks")
+    blocks = common.written(_blocks(rows.join(most, "dims").withColumn("class", class_), k, tasks), "ann-blocks")
     classes = common.written(blocks.groupBy("dims", "class").agg(F.sum("n").alias("n")).withColumn("wanted", F.ceil(breadth * F.pow("n", F.lit(0.75)))), "ann-classes")
     large = classes.where(F.col("n") > few)
     least = _valid(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dims", F.size("embedding"))
