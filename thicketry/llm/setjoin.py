@@ -217,27 +217,12 @@ def _keys(docs: DataFrame, marks: np.ndarray, size: int, t: tuple[int, int]) ->
                 each = [len(x) for x in held]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).astype(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["shingle", "node", "size"])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("known")
-            own, df = (lists.flatten().field(f).to_numpy() for f in ("shingle", "df"))
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            held, nodes, sizes = [], [], []
-            for node, n, a, b in zip(batch.column("node").to_pylist(), batch.column("size").to_pylist(), ends, ends[1:]):
-                every, at = np.unique(own[a:b], return_index=True)  # a node may come from several tasks
-                count = _prefix(n, len(every), t)
-                if count > 0:
-                    held.append(every[np.lexsort((every, df[a:b][at]))[:count]])
-                    nodes.append(node)
-                    sizes.append(n)
-            if held:
-                each = [len(x) for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["shingle", "node", "size"])
-
     rows = common.written(docs.select("text").mapInArrow(shared, "shingle long, node long, size int"), "shared-shingles")
     df = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    known = rows.join(df.select("shingle", "df"), "shingle").groupBy("node", "size").agg(F.collect_list(F.struct("shingle", "df")).alias("known"))
-    return known.select("node", "size", "known").mapInArrow(first, "shingle long, node long, size int")
+    rarest = Window.partitionBy("node").orderBy("df", "shingle")  # a node may come from several tasks: equal rows have one rank
+    ranked = rows.join(df.select("shingle", "df"), "shingle").withColumn("rank", F.dense_rank().over(rarest))
+    known = ranked.withColumn("known", F.max("rank").over(Window.partitionBy("node")))
+    return known.where(f"rank <= known + 1 - ({t[0]}L * size + {t[1] - 1}) div {t[1]}").select("shingle", "node", "size")
 
 
 def _class(size: Column, t: tuple[int, int]) -> Column:
