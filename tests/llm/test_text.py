@@ -342,6 +342,60 @@ def test_near_passages_around_a_line_of_many(spark):
     assert sum(covered[i] >= 54 for i in range(1501, 1600, 2)) >= 45
 
 
+@pytest.mark.parametrize("more", [{}, {"block": 200}])
+def test_a_line_of_many_hides_no_near_passage(spark, more):
+    """What is found among a few documents is found as well among many that share a line with them, in one block or in several."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    line = some(30)
+    texts = []
+    for _ in range(100):
+        p = some(15) + line + some(15)
+        edit = list(p)
+        edit[rng.choice([*range(5, 15), *range(45, 55)])] = word()
+        texts += [some(30) + p + some(30), some(30) + edit + some(30)]
+    few = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    many = spark.createDataFrame([(1000 + i, " ".join(some(30) + line + some(30))) for i in range(1500)], "doc_id long, text string").repartition(4)
+
+    def covered(df, **how):
+        return {(r["doc_id"], k) for r in passages.repeats(df, **how).collect() for k in range(r["start"], r["start"] + r["n_words"])}
+
+    wanted = covered(few)
+    assert len({i for i, _ in wanted}) > 90
+    assert covered(few.unionByName(many), **more) == wanted
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_index_covers_what_all_pairs_cover(sides):
+    """Members of several templates with edits, two windows of a document overlapping, one token in long stretches."""
+    rng = np.random.default_rng(6)
+    span, middle = passages._SPAN, passages.WIDTH - 1
+    templates = rng.integers(2, 1 << 32, (4, span + 40)).astype(np.uint32)
+    templates[1, 20:70] = templates[2, 30:90] = 1
+    doc, c, matrix = [], [], []
+    for i in range(300):
+        text = templates[rng.integers(4)].copy()
+        for at in rng.integers(0, len(text), rng.integers(0, 5)):
+            text[at : at + 5] = rng.integers(2, 1 << 32, len(text[at : at + 5]))
+        for shift in sorted(rng.choice(30, 2, replace=False).tolist()):
+            doc.append(i)
+            c.append(100 + shift)
+            matrix.append(text[shift : shift + span].copy())
+            matrix[-1][middle] = 1
+            if rng.random() < 0.3:
+                matrix[-1][: rng.integers(0, 40)] = 0
+    doc, c, matrix = np.array(doc), np.array(c), np.array(matrix)
+    side = doc % 2 if sides else None
+    index, every = (passages._Index(doc, np.zeros(600, np.int32), c, matrix, side) for _ in range(2))
+    found = sum(len(x[0]) for x in index.run())
+    i, j = np.nonzero(doc[:, None] > doc[None])
+    keep = np.full(len(i), True) if side is None else side[i] != side[j]
+    every.compare(i[keep], j[keep])
+    assert every.covered.sum() > 5000 and (index.covered == every.covered).all()
+    assert found < 0.5 * sum(len(x[0]) for x in every.found)
+
+
 def test_different_texts_under_one_id(spark):
     word = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
     rows = [(1, word(1)), (2, word(2)), (2, word(1) + " own"), (2, word(1) + " own"), (3, word(2))]

@@ -11,10 +11,11 @@ of a text are parted among its windows, and two runs share a function's min-hash
 3. Runs with at least ENOUGH functions that are no exact copy are sought among the nearly equal. Two such runs share ENOUGH values, so
    they meet in a group of all but the last ENOUGH - 1 of theirs in order of value. Rows carry the tokens around the
    min-hash, and members are compared with the earlier ones of their group there, shingle by shingle: no
-   text of another document is fetched.
+   text of another document is fetched. In large groups an index of their tokens leaves out pairs that can't be alike, or that could add
+   nothing to what is covered; what it covers is what all pairs do. Still larger ones are cut into blocks, which meet pairwise in tasks of their own.
 4. Exact and near runs of a document are joined to passages; of passages that overlap the longest stays whole.
 
-No step makes all pairs of a group, or moves one to the driver. Documents that lie together in a task settle their shared values and runs there and
+No group is capped, and none moves to the driver. Documents that lie together in a task settle their shared values and runs there and
 send one row for each on, so a value that a third of all documents have reaches its group once a task.
 Words and runs are known by 64-bit hashes.
 """
@@ -42,19 +43,20 @@ SHIFT = 8
 GAP = 16
 #: Windows or runs that a task holds to settle among themselves.
 HELD = 1 << 19
-#: Groups up to this size compare every member with all earlier ones; in larger ones a member stops at its first match.
+#: Groups up to this size compare every member with all earlier ones; in larger ones an index tells which of them can add something.
 SMALL = 64
-#: Members of a group beyond which it is split: one more min-hash for this number and each power of 4 of it, after the first SPLIT.
-HOT = 1024
-SPLIT = 2
-#: Tokens from a min-hash on, to one side, that a split looks at: a run holds that many on one side or the other.
-SIDE = WIDTH // 2
+#: Members of a block: a larger group is cut into blocks of about so many, and any two of them meet in a task.
+BLOCK = 1 << 14
+#: Earlier members that those of a large group try before the index is asked.
+TRIES = 8
 #: Tokens equal in place that a pair needs before it is compared at all shifts.
 ALIGNED = 10
 #: Pairs compared at once.
 PAIRS = 1 << 14
 _BITS = 23
 _SPAN = 2 * WIDTH - 1
+#: Tokens of a run that alike ones may lack, whatever their length: of any one more than these a partner has one.
+LACKS = WIDTH - min(e for e in range(WIDTH + 1) for n in range(WIDTH - 2 * SHIFT, WIDTH + 2 * SHIFT + 1) if e / max(WIDTH + n - e, 1) >= SIMILARITY)
 
 
 def _sliding(x: np.ndarray, width: int, combine: np.ufunc) -> np.ndarray:
@@ -294,11 +296,15 @@ def _open_windows(members: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 _AROUND = "value long, part int, doc_id long, tk int, place int, first int, tokens binary"
+_MEMBER = _AROUND + ", known binary"
 _NEAR = "doc_id long, tk int, start int, n_words int, source_id long, source_start int, source_words int, similarity double"
 
 
-def _around(sought: DataFrame, texts: DataFrame) -> DataFrame:
-    """The windows (of n documents' groups) with the tokens of all runs that hold the min-hash, 4 bytes each."""
+def _around(sought: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The windows (of groups of n) with the tokens of all runs that hold the min-hash, 4 bytes each.
+
+    known: in large groups the tokens (bits, from WIDTH - 1 before the min-hash on) that exact runs cover; else empty. part: which two blocks of the group meet, whether these are two (bit 1), and on which side the window is (bit 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches):
@@ -308,32 +314,37 @@ def _around(sought: DataFrame, texts: DataFrame) -> DataFrame:
             c, base = spot >> 16, ends[row]
             l, r = np.maximum(c - WIDTH + 1, 0), np.minimum(c + WIDTH - 1, ends[row + 1] - base - 1)
             short = np.maximum(tokens >> np.uint64(32), np.uint64(1)).astype(np.uint32)
-            part_of = np.zeros(len(spot), np.int64)
-            again, sides = [], []
-            for i in np.flatnonzero(n > HOT):
-                many = SPLIT + int(np.log(n[i] / HOT) / np.log(4))
-                for side, (x, y) in enumerate(((max(0, c[i] - SIDE + 1), c[i] + 1), (c[i], min(r[i] + 1, c[i] + SIDE)))):
-                    beside = tokens[base[i] + x : base[i] + y]
-                    key = np.uint64(side + 1)
-                    for k in range(many):
-                        key = common.mix64(np.array([key]) ^ salted(beside, FUNCTIONS + k).min())[0]
-                    again.append(i)
-                    sides.append(int(key >> np.uint64(33)) | 1)
-            if again:  # members of large groups stand once for each side
-                every = np.concatenate([np.flatnonzero(n <= HOT), np.array(again)])
-                part_of = np.concatenate([part_of[n <= HOT], np.array(sides)])
-                row, value, c, l, r, base = (v[every] for v in (row, value, c, l, r, base))
+            ids, keys = part.column("doc_id").to_numpy(), part.column("tk").to_numpy()
+            # a member of `many` blocks stands once for each block that its own one meets
+            many = -(-n // block)
+            own = (common.mix64(ids[row]) % many.astype(np.uint64)).astype(np.int64)
+            every = np.repeat(np.arange(len(spot)), many)
+            other = np.arange(len(every)) - np.repeat(np.cumsum(many) - many, many)
+            own, low, high = own[every], np.minimum(own[every], other), np.maximum(own[every], other)
+            part_of = (low * many[every] + high) << 2 | (low != high).astype(np.int64) << 1 | (own > other)
+            of, place = _flat(part, "places", "place")
+            edge = np.zeros(len(tokens) + 1, np.int32)
+            np.add.at(edge, ends[of] + place, 1)
+            np.add.at(edge, ends[of] + place + WIDTH, -1)
+            exact = np.concatenate([np.zeros(WIDTH, bool), np.cumsum(edge[:-1]) > 0, np.zeros(WIDTH, bool)])
+            known = []
+            for k in range(0, len(spot), 1 << 12):
+                around = (base + c)[k : k + (1 << 12), None] + np.arange(1, _SPAN + 1)
+                bits = np.packbits(exact[around], axis=1)
+                known += [x.tobytes() if big else b"" for x, big in zip(bits, (n[k : k + (1 << 12)] > SMALL).tolist())]
+            known = [known[k] for k in every.tolist()]
+            row, value, c, l, r, base = (v[every] for v in (row, value, c, l, r, base))
             size = r - l + 1
             at = np.repeat(base + l - (np.cumsum(size) - size), size) + np.arange(size.sum())
             ends_ = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends_), pa.py_buffer(short[at].tobytes())])
-            columns = [value, part_of, part.column("doc_id").to_numpy()[row], part.column("tk").to_numpy()[row], c, l, data]
+            columns = [value, part_of, ids[row], keys[row], c, l, data, known]
             if len(size):
-                schema = _numbers(_AROUND)
+                schema = _numbers(_MEMBER)
                 yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
-    joined = sought.join(texts, ["doc_id", "tk"]).select("doc_id", "tk", "text", "windows")
-    return joined.mapInArrow(run, _AROUND)
+    joined = sought.join(texts, ["doc_id", "tk"]).select("doc_id", "tk", "text", "windows", "places")
+    return joined.mapInArrow(run, _MEMBER)
 
 
 _ORDER = np.array(sorted(range(-SHIFT, SHIFT + 1), key=abs))
@@ -376,9 +387,186 @@ def near_pairs(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 
+class _Index:
+    """The rows of a large group in order of (doc, tk, c), by their tokens.
+
+    Only places that no exact run, other window of the document or earlier row covers yet are sought (known: those that exact runs cover). All alike
+    runs of two rows hold the min-hash, so what was found for a row lies around it, and a row that adds an open place on one side has a
+    token at that place or beyond, at most SHIFT away. It also has one of any LACKS + 1 tokens of the run that it is alike to, so of the rarest
+    of each run. Whichever of the two has the shorter lists names the candidates.
+    """
+
+    def __init__(self, doc: np.ndarray, tk: np.ndarray, c: np.ndarray, matrix: np.ndarray, side: np.ndarray | None, known: np.ndarray | None = None):
+        n = len(doc)
+        self.matrix, self.side, self.real = matrix, side, matrix != 0
+        self.before = np.searchsorted(doc, doc)  # rows of earlier documents
+        step = np.full(n, _SPAN)
+        same = (doc[1:] == doc[:-1]) & (tk[1:] == tk[:-1])
+        step[1:][same] = np.minimum(c[1:] - c[:-1], _SPAN)[same]
+        self.base = np.cumsum(step) - step[0]
+        self.covered = np.zeros(int(self.base[-1]) + _SPAN, bool)
+        if known is not None:
+            row, column = np.nonzero(known)
+            self.covered[self.base[row] + column] = True
+        centre = matrix == matrix[0, WIDTH - 1]  # the min-hash, which all have
+        self.first, self.last = centre.argmax(1), _SPAN - 1 - centre[:, ::-1].argmax(1)
+        self.low, self.high = np.full(n, WIDTH - 1), np.full(n, WIDTH - 1)  # found for the row itself
+        distinct, ids = np.unique(matrix, return_inverse=True)
+        self.ids = ids.reshape(matrix.shape).astype(np.int32)
+        count = np.bincount(self.ids.ravel(), minlength=len(distinct))
+        self.starts = np.concatenate([[0], np.cumsum(count)])
+        order = np.argsort(self.ids.ravel(), kind="stable").astype(np.int32)
+        self.row, self.column = order // _SPAN, (order % _SPAN).astype(np.int8)
+        self.df = np.where(self.real, count.astype(np.int32)[self.ids], np.iinfo(np.int32).max)
+        self.rare = np.zeros(matrix.shape, bool)
+        for first in range(WIDTH):
+            rows = np.flatnonzero(self.real[:, first] & self.real[:, first + WIDTH - 1])
+            rarest = np.argpartition(self.df[rows, first : first + WIDTH], LACKS, axis=1)[:, : LACKS + 1] + first
+            self.rare[rows[:, None], rarest] = True
+        self.found: list[tuple] = []
+
+    def open(self, i: int) -> np.ndarray:
+        """Columns of a row that nothing covers yet."""
+        return np.flatnonzero(self.real[i] & ~self.covered[self.base[i] : self.base[i] + _SPAN])
+
+    def candidates(self, i: int, tried: np.ndarray | None) -> np.ndarray:
+        """Earlier rows that may cover more of row i, likely ones first."""
+        n, open_, rare = int(self.before[i]), self.open(i), np.flatnonzero(self.rare[i])
+        if not n or not len(open_) or not len(rare):
+            return np.zeros(0, np.int64)
+        left, right = open_[open_ < self.low[i]], open_[open_ > self.high[i]]
+        beyond = np.flatnonzero(self.real[i])
+        if len(left) + len(right) == len(open_):
+            beyond = beyond[(beyond <= left.max(initial=-1)) | (beyond >= right.min(initial=_SPAN))]
+        spans = self.df[i]
+        columns = min(beyond, rare, key=lambda x: int(spans[x].sum(dtype=np.int64)))
+        n_hits = spans[columns].sum(dtype=np.int64)
+        if n_hits > 64 * len(self.matrix):  # long lists: all rows
+            may = np.arange(n)
+        else:
+            row, column = self._hits(i, columns)
+            may = np.flatnonzero(np.bincount(row, minlength=n))
+        if self.side is not None:
+            may = may[self.side[may] != self.side[i]]
+        if tried is not None:
+            may = may[~np.isin(may, tried)]
+        if not len(may):
+            return may
+        # runs with an open place, and the most that each row can have in common with them
+        centre = self.matrix[i] == self.matrix[i, WIDTH - 1]
+        hit = centre & (np.arange(_SPAN) >= self.first[may, None] - SHIFT) & (np.arange(_SPAN) <= self.last[may, None] + SHIFT)
+        row, column = self._hits(i, np.flatnonzero(self.real[i] & ~centre))
+        at = np.full(n, -1)
+        at[may] = np.arange(len(may))
+        row = at[row]
+        hit[row[row >= 0], column[row >= 0]] = True
+        sums = np.zeros((len(may), _SPAN + 1), np.int8)
+        np.cumsum(hit, axis=1, out=sums[:, 1:])
+        equal = np.where(hit[:, :WIDTH] & hit[:, WIDTH - 1 :], sums[:, WIDTH:] - sums[:, :WIDTH], 0)
+        most = equal.max(1)
+        may, most = may[most >= WIDTH - LACKS], most[most >= WIDTH - LACKS]
+        return may[np.argsort(-most, kind="stable")]
+
+    def _hits(self, i: int, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(earlier row, column) where these columns' tokens of row i are, at most SHIFT away."""
+        size = self.df[i, columns].astype(np.int64)
+        at = np.repeat(self.starts[self.ids[i, columns]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        row, column = self.row[at], np.repeat(columns, size)
+        near = (row < self.before[i]) & (np.abs(self.column[at] - column) <= SHIFT)
+        return row[near], column[near]
+
+    def compare(self, i: np.ndarray, j: np.ndarray) -> None:
+        for at in range(0, len(i), PAIRS):
+            p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+            k, a, b, x, y, alike = near_pairs(self.matrix[p], self.matrix[q])
+            if not len(k):
+                continue
+            p, q = p[k], q[k]
+            self.found.append((p, q, a, b, x, y, alike))
+            np.minimum.at(self.low, p, a)
+            np.maximum.at(self.high, p, b)
+            size = b - a + 1
+            self.covered[np.repeat(self.base[p] + a - (np.cumsum(size) - size), size) + np.arange(size.sum())] = True
+
+    def run(self) -> list[tuple]:
+        """(row, earlier row, and what near_pairs says of them) of pairs that cover all that all pairs do."""
+        left = np.array([i for i in np.flatnonzero(self.before > 0).tolist() if len(self.open(i))], np.int64)
+        tried: dict[int, list[np.ndarray]] = {}
+        for k in range(TRIES if len(left) else 0):
+            j = (common.mix64(left * TRIES + k) % self.before[left].astype(np.uint64)).astype(np.int64) if k else np.zeros(len(left), np.int64)
+            real = np.full(len(left), True) if self.side is None else self.side[left] != self.side[j]
+            self.compare(left[real], j[real])
+            left = left[~self.covered[self.base[left] + WIDTH - 1]]
+        left, quota = np.flatnonzero(self.before > 0).tolist(), 1
+        while left:
+            more, pairs, waiting = [], [], 0
+
+            def settle() -> None:
+                if pairs:
+                    self.compare(np.repeat([i for i, _ in pairs], [len(j) for _, j in pairs]), np.concatenate([j for _, j in pairs]))
+                    pairs.clear()
+
+            for i in left:
+                found = self.candidates(i, np.concatenate(tried[i]) if i in tried else None)
+                if len(found) > quota:
+                    found = found[:quota]
+                    tried.setdefault(i, []).append(found)
+                    more.append(i)
+                if len(found):
+                    pairs.append((i, found))
+                    waiting += len(found)
+                if waiting >= PAIRS:
+                    settle()
+                    waiting = 0
+            settle()
+            left, quota = more, quota * 4
+        return self.found
+
+
+def _small(doc: np.ndarray, matrix: np.ndarray, first: np.ndarray, side: np.ndarray) -> list[tuple]:
+    """As _Index.run, of many small groups: every row against all earlier ones of its group, whose first row is given."""
+    found = []
+    left = np.flatnonzero(doc[first] < doc)
+    back = 1
+    while len(left := left[left - back >= first[left]]):
+        j = left - back
+        real = (doc[j] < doc[left]) & ((side[left] < 0) | (side[left] != side[j]))
+        i, j = left[real], j[real]
+        for at in range(0, len(i), PAIRS):
+            p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+            k, *rest = near_pairs(matrix[p], matrix[q])
+            found.append((p[k], q[k], *rest))
+        back += 1
+    return found
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near repeats among rows of _AROUND in order of (value, part, doc_id)."""
-    carry: tuple | None = None
+    """Near repeats among rows of _AROUND in order of (value, blocks of the part)."""
+
+    def compared(columns: tuple) -> Iterator[pa.RecordBatch]:
+        value, part, doc, tk, c, matrix, known = columns
+        order = np.lexsort((c, tk, doc, part >> 2, value))
+        value, part, doc, tk, c, matrix, known = (x[order] for x in columns)
+        side = np.where(part & 2, part & 1, -1)
+        begins = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] >> 2 != part[:-1] >> 2)]))
+        sizes = np.diff(np.concatenate([begins, [len(value)]]))
+        first = np.repeat(begins, sizes)
+        small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+        found = []
+        if len(small):
+            place = np.cumsum(np.repeat(sizes <= SMALL, sizes)) - 1
+            found += [(small[p], small[q], *rest) for p, q, *rest in _small(doc[small], matrix[small], place[first[small]], side[small])]
+        for at, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            mine = slice(at, at + size)
+            if doc[at] != doc[at + size - 1]:
+                pairs = _Index(doc[mine], tk[mine], c[mine], matrix[mine], side[mine] if side[at] >= 0 else None, known[mine]).run()
+                found += [(p + at, q + at, *rest) for p, q, *rest in pairs]
+        if found:
+            d, s, a, b, x, y, alike = map(np.concatenate, zip(*found))
+            columns = (doc[d], tk[d], c[d] - WIDTH + 1 + a, b - a + SHINGLE, doc[s], c[s] - WIDTH + 1 + x, y - x + SHINGLE, alike)
+            yield from _sent(dict(zip((f.name for f in _numbers(_NEAR)), columns)), _NEAR)
+
+    held: list[tuple] = []  # of the last group, which may go on
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -388,46 +576,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = np.zeros((len(value), _SPAN), np.uint32)
         row = np.repeat(np.arange(len(value)), size)
         matrix[row, np.arange(len(row)) - (ends[:-1] // 4)[row] + (WIDTH - 1 - (c - l))[row]] = np.frombuffer(data.tobytes(), np.uint32)
-        old = 0
-        columns = (value, part, doc, tk, c, matrix)
-        if carry is not None:
-            old = len(carry[0])
-            columns = tuple(np.concatenate([x, y]) for x, y in zip(carry, columns))
-        value, part, doc, tk, c, matrix = columns
-        begins = np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
-        first = np.maximum.accumulate(np.where(begins, np.arange(len(value)), 0))
-        found: list[tuple] = []
-        left = np.flatnonzero((np.arange(len(value)) >= old) & (doc[first] < doc))
-        back = 0  # first the group's first row, then those before, nearest first
-        while len(left):
-            j = first[left] if back == 0 else left - back
-            real = (doc[j] < doc[left]) & ((j > first[left]) | (back == 0))
-            i, j = left[real], j[real]
-            for at in range(0, len(i), PAIRS):
-                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
-                k, a, b, x, y, alike = near_pairs(matrix[p], matrix[q])
-                d, s = p[k], q[k]
-                found.append((doc[d], tk[d], c[d] - WIDTH + 1 + a, b - a + SHINGLE, doc[s], c[s] - WIDTH + 1 + x, y - x + SHINGLE, alike))
-                if len(d):
-                    left = left[~(np.isin(left, d) & (left - first[left] > SMALL))]
-            back += 1
-            left = left[left - back > first[left]]
-        if found:
-            yield from _sent(dict(zip((f.name for f in _numbers(_NEAR)), map(np.concatenate, zip(*found)))), _NEAR)
-        carry = tuple(x[first[-1] :].copy() for x in columns)
-
-
-def _near(members: DataFrame, exact: DataFrame, texts: DataFrame) -> DataFrame:
+        known = np.zeros((len(value), _SPAN), bool)
+        if batch.num_columns > 7:
+            bits, bit_ends = common.bytes_of(batch.column("known"))
+            told = np.flatnonzero(np.diff(bit_ends))
+            known[told] = np.unpackbits(bits.reshape(len(told), (_SPAN + 7) // 8), axis=1, count=_SPAN).astype(bool)
+        columns = (value, part, doc, tk, c, matrix, known)
+        other = np.flatnonzero((value != value[-1]) | (part >> 2 != part[-1] >> 2))
+        last = int(other[-1]) + 1 if len(other) else 0
+        if held and (last or value[0] != held[0][0][0] or part[0] >> 2 != held[0][1][0] >> 2):
+            held.append(tuple(x[:last] for x in columns))
+            yield from compared(tuple(map(np.concatenate, zip(*held))))
+            held = []
+        elif last:
+            yield from compared(tuple(x[:last] for x in columns))
+        held.append(tuple(x[last:].copy() for x in columns))
+    if held:
+        yield from compared(tuple(map(np.concatenate, zip(*held))))
+
+
+def _near(members: DataFrame, exact: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, tk, near: passages that an earlier document has nearly."""
     rows = common.written(_open_windows(members, exact), "passage-open")
     groups = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
-    sought = rows.join(groups.select("value", "n"), "value").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("value", "spot", "n")).alias("windows"))
-    sought = common.written(sought, "passage-sought")
+    sought = rows.join(groups.select("value", "n"), "value").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("value", "spot", "n")).alias("windows"), F.max("n").alias("most"))
+    places = exact.select("doc_id", "tk", F.expr("transform(runs, x -> struct(x.place as place))").alias("places"))
+    sought = sought.where(f"most <= {SMALL}").withColumn("places", F.lit(None).cast(places.schema["places"].dataType)).unionByName(sought.where(f"most > {SMALL}").join(places, ["doc_id", "tk"], "left"))
+    sought = common.written(sought.drop("most"), "passage-sought")
     common.discard(rows)
     common.free(texts.sparkSession)
-    around = _around(sought, _active(texts, sought.select("doc_id")))
-    keys = ["value", "part"]
-    found = around.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "tk", "place").mapInArrow(_compare, _NEAR)
+    around = _around(sought, _active(texts, sought.select("doc_id")), block)
+    keys = [F.col("value"), F.shiftright("part", 2)]
+    found = around.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, _NEAR)
     names = [f.name for f in _numbers(_NEAR)][2:]
     return found.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*names)).alias("near"))
 
@@ -543,7 +723,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, start, n_words, source_id, source_start, source_words, similarity, text_key: passages that repeat an earlier document's.
 
     Places count words (runs of bytes other than ASCII white space; case of A-Z doesn't count) from 0. Earlier: of a smaller
@@ -559,7 +739,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common.free(docs.sparkSession)
     exact = common.written(_exact(members, _active(texts, members.select("doc_id"))), "passage-exact")
     common.free(docs.sparkSession)
-    near = common.written(_near(members, exact, texts), "passage-near")
+    near = common.written(_near(members, exact, texts, block), "passage-near")
     common.discard(members)
     common.free(docs.sparkSession)
     return exact.join(near, ["doc_id", "tk"], "full").select("doc_id", "tk", "runs", "near").mapInArrow(_assembled, _DDL)
