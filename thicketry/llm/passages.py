@@ -418,17 +418,28 @@ class _Index:
         order = np.argsort(self.ids.ravel(), kind="stable").astype(np.int32)
         self.row, self.column = order // _SPAN, (order % _SPAN).astype(np.int8)
         self.df = np.where(self.real, count.astype(np.int32)[self.ids], np.iinfo(np.int32).max)
+        # tokens that an earlier document has; without enough of them in a run, nothing is alike
+        alive = self.real & (self.row[self.starts[self.ids]] < self.before[:, None])
+        sums = np.zeros((n, _SPAN + 1), np.int8)
+        np.cumsum(alive, axis=1, out=sums[:, 1:])
+        self.likely = (alive[:, :WIDTH] & alive[:, WIDTH - 1 :] & (sums[:, WIDTH:] - sums[:, :WIDTH] >= WIDTH - LACKS)).any(1)
         self.rare = np.zeros(matrix.shape, bool)
         for first in range(WIDTH):
-            rows = np.flatnonzero(self.real[:, first] & self.real[:, first + WIDTH - 1])
+            rows = np.flatnonzero(self.real[:, first] & self.real[:, first + WIDTH - 1] & self.likely)
             rarest = np.argpartition(self.df[rows, first : first + WIDTH], LACKS, axis=1)[:, : LACKS + 1] + first
             self.rare[rows[:, None], rarest] = True
+        self.rare &= alive
         self.found: list[tuple] = []
 
     def open(self, i: int) -> np.ndarray:
         """Columns of a row that nothing covers yet."""
         return np.flatnonzero(self.real[i] & ~self.covered[self.base[i] : self.base[i] + _SPAN])
 
+    def unsettled(self) -> np.ndarray:
+        """Rows with open columns that an earlier one may cover."""
+        rows = np.flatnonzero(self.likely)
+        return rows[(self.real[rows] & ~self.covered[self.base[rows][:, None] + np.arange(_SPAN)]).any(1)]
+
     def candidates(self, i: int, tried: np.ndarray | None) -> np.ndarray:
         """Earlier rows that may cover more of row i, likely ones first."""
         n, open_, rare = int(self.before[i]), self.open(i), np.flatnonzero(self.rare[i])
@@ -490,14 +501,14 @@ class _Index:
 
     def run(self) -> list[tuple]:
         """(row, earlier row, and what near_pairs says of them) of pairs that cover all that all pairs do."""
-        left = np.array([i for i in np.flatnonzero(self.before > 0).tolist() if len(self.open(i))], np.int64)
+        left = self.unsettled()
         tried: dict[int, list[np.ndarray]] = {}
         for k in range(TRIES if len(left) else 0):
             j = (common.mix64(left * TRIES + k) % self.before[left].astype(np.uint64)).astype(np.int64) if k else np.zeros(len(left), np.int64)
             real = np.full(len(left), True) if self.side is None else self.side[left] != self.side[j]
             self.compare(left[real], j[real])
             left = left[~self.covered[self.base[left] + WIDTH - 1]]
-        left, quota = np.flatnonzero(self.before > 0).tolist(), 1
+        left, quota = self.unsettled().tolist(), 1
         while left:
             more, pairs, waiting = [], [], 0
 
