@@ -396,6 +396,19 @@ def test_index_covers_what_all_pairs_cover(sides):
     assert found < 0.5 * sum(len(x[0]) for x in every.found)
 
 
+def test_pipeline_sends_a_text_to_workers_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    text = " ".join(f"x{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, "a", 9), (2, text + " more", "b", 9)], "doc_id long, text string, extra string, n_chars long")
+    seen, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: (seen.append(self.schema), plain(self, *a, **k))[1])
+    out = corpus_pipeline.cut_repeats(spark, df, "")
+    assert sorted(map(tuple, out.collect())) == [(1, text, "a", 9), (2, "more", "b", 4)] and out.columns == df.columns
+    rows = [x["__row"].dataType.names for x in seen if "__row" in x.names]
+    assert rows == [["doc_id", "extra", "n_chars"]]
+
+
 def test_different_texts_under_one_id(spark):
     word = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
     rows = [(1, word(1)), (2, word(2)), (2, word(1) + " own"), (2, word(1) + " own"), (3, word(2))]

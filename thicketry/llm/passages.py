@@ -787,8 +787,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
     packed = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.hash(F.coalesce(text, F.lit(""))).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text.alias("__text"))
     keys = ["__id", "__key"]
     whole = packed.join(spans, keys, "left_anti").select("__row.*")
-    touched = packed.join(spans, keys).select("__row", "__text", "__spans")
-    row = packed.schema["__row"].dataType.simpleString()
+    # the text goes to the workers once, not in the row as well
+    touched = packed.join(spans, keys).select(F.col("__row").dropFields(f"`{text_col}`").alias("__row"), "__text", "__spans")
+    row = touched.schema["__row"].dataType.simpleString()
     done = touched.mapInArrow(cut, f"__row {row}, __text string").where(F.length(F.trim("__text")) > 0)
     kept = []
     for c in docs.columns:
