@@ -366,6 +366,22 @@ def test_a_line_of_many_hides_no_near_passage(spark, more):
     assert covered(few.unionByName(many), **more) == wanted
 
 
+def test_a_late_member_is_compared_after_its_first_match():
+    """The first of 200 members has the right half of the last one, another has the left half: both count."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    middle = passages.WIDTH - 1
+    rows = rng.integers(1, 1 << 32, (200, passages._SPAN)).astype(np.uint32)
+    rows[:, middle] = 5
+    rows[0, middle:], rows[50, : middle + 1] = rows[199, middle:], rows[199, : middle + 1]
+    schema = passages._numbers(passages._AROUND)
+    columns = zip(*((7, 0, i, 0, 1000, 1000 - middle, x.tobytes()) for i, x in enumerate(rows)))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+    found = {(r["doc_id"], r["source_id"]) for b in passages._compare(iter([batch])) for r in b.to_pylist()}
+    assert found == {(199, 0), (199, 50)}
+
+
 @pytest.mark.parametrize("sides", [False, True])
 def test_index_covers_what_all_pairs_cover(sides):
     """Members of several templates with edits, two windows of a document overlapping, one token in long stretches."""
