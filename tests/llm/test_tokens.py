@@ -53,6 +53,33 @@ def test_one_text_with_more_chunks_than_slots():
         assert small.encode_batch(pa.array([text, "w1 w2", text])) == [want, np.asarray(library().encode("w1 w2", add_special_tokens=False).ids, "<u2").tobytes(), want]
 
 
+def test_a_table_takes_room_for_what_it_holds():
+    from thicketry.llm.idcache import IdCache
+
+    assert len(IdCache(2_000_000, np.dtype("<u2")).keys) <= 1 << 16
+    enc = wordbpe.WordEncoder(WORD)
+    text = " ".join(f"w{i}" for i in range(70_000))  # more than the first slots
+    want = np.asarray(library().encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert [enc.encode_batch(pa.array([text])) for _ in range(2)] == [[want], [want]]
+    assert len(enc.cache.keys) > 70_000
+
+
+def test_what_a_task_freed_goes_back_before_the_next_one():
+    import re
+
+    from thicketry.llm import common
+
+    def own_mb() -> float:
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) / 1024
+
+    held = [np.ones(2000) for _ in range(10_000)]  # 160 MB in small pieces
+    held = held[::100]
+    before = own_mb()
+    assert list(common.chunks([])) == []
+    assert own_mb() < before - 100 and len(held) == 100
+
+
 def test_chunks_of_one_hash_keep_their_ids(monkeypatch, edge_rows):
     from thicketry.llm import words
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -89,8 +90,17 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process back to the machine: workers outlive their tasks, and what one stage's tasks have freed would
+    count beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc's
+        trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices (no copies) of the batches whose text column holds about `limit` bytes, one row at least."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

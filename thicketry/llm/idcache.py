@@ -38,7 +38,7 @@ class IdCache:
         self.clear()
 
     def clear(self) -> None:
-        self._slots(1 << int(self.capacity * 3 // 2).bit_length())
+        self._slots(1 << min(16, int(self.capacity * 3 // 2).bit_length()))  # grows with what it holds: a worker keeps its table for other stages' tasks
         self.n = self.used = self.letters = 0
         self.at, self.text_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.size, self.text_size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
