@@ -50,6 +50,23 @@ def test_language_edges(spark, edge, none):
     assert {r["lang_pred"] for r in langid.predict(edge, {}).collect()} == {"und"}
 
 
+def test_texts_of_a_language_are_bundled_by_one_product():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(map(chr, rng.integers(97, 123, 80))) + " " + "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 20))) for _ in range(60)] + ["", "12"]
+    langs = ["pqr"[i % 3] for i in range(60)] + ["p", "s\x00"]
+    letters = langid.letter_vectors(64)
+    x, totals = langid.vectors(pa.array(texts), letters)
+    held = [y for part in (slice(0, 20), slice(20, 62)) for y in langid._weights(pa.array(texts[part]), langs[part])]
+    found: dict[str, np.ndarray] = {}
+    langid._bundled(held, letters, found, block=100)
+    assert set(found) == {"p", "q", "r", "s\x00"} and not found["s\x00"].any()
+    for k in "pqr":
+        mine = [i for i, lang in enumerate(langs) if lang == k and totals[i]]
+        assert np.allclose(found[k], (1 / totals[mine]) @ x[mine].astype(np.float64), atol=1e-9)
+
+
 def test_accepted_languages_are_alike(spark):
     import base64
 

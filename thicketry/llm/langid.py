@@ -30,6 +30,8 @@ SIZES = 32
 ENOUGH = 50
 QUANTILE = 0.01
 PART = 0.5
+#: Weights of trigrams that a task holds before it multiplies them with their vectors.
+HELD = 1 << 19
 
 _TABLE: np.ndarray | None = None
 
@@ -155,6 +157,39 @@ def vectors(texts: pa.Array, letters: Letters, block: int = 256) -> tuple[np.nda
     return out, totals
 
 
+def _weights(texts: pa.Array, langs: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each language its texts' trigrams, by key, and their weights: a text's trigrams weigh 1 together."""
+    doc, grams, points = _grams(texts)
+    totals = np.bincount(doc, minlength=len(texts))
+    names = sorted(set(langs))
+    place = {name: k for k, name in enumerate(names)}
+    own = np.array([place[x] for x in langs], np.int64)[doc]
+    for k, name in enumerate(names):
+        mine = np.flatnonzero(own == k)
+        used, place = np.unique(grams[mine], return_inverse=True)
+        yield name, _keys(used, points), np.bincount(place, 1 / totals[doc[mine]], len(used))
+
+
+def _bundled(held: list[tuple[str, np.ndarray, np.ndarray]], letters: Letters, sums: dict[str, np.ndarray], block: int = 1024) -> None:
+    """Adds the trigrams' vectors, by their weights, to the sums of their languages: one product for many texts."""
+    if not held:
+        return
+    names = sorted({lang for lang, _, _ in held})
+    for name in names:
+        sums.setdefault(name, np.zeros(letters.dimensions))
+    used, place = np.unique(np.concatenate([keys for _, keys, _ in held]), return_inverse=True)
+    row = np.repeat([names.index(lang) for lang, _, _ in held], [len(keys) for _, keys, _ in held])
+    weights = np.concatenate([w for _, _, w in held])
+    order = np.argsort(place, kind="stable")
+    place, row, weights = place[order], row[order], weights[order]
+    for at in range(0, len(used), block):
+        step = min(block, len(used) - at)
+        mine = slice(*np.searchsorted(place, [at, at + step]))
+        some = np.bincount(row[mine] * step + place[mine] - at, weights[mine], len(names) * step).reshape(len(names), step)
+        for name, x in zip(names, some @ trigram_vectors(used[at : at + step], letters).astype(np.float64)):
+            sums[name] += x
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes of all languages in the rows; rows without a language or text are left out.
 
@@ -165,13 +200,16 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors(dimensions, seed)
         sums: dict[str, np.ndarray] = {}
+        held: list[tuple[str, np.ndarray, np.ndarray]] = []
+        n = 0
         for part in common.chunks(batches):
-            x, totals = vectors(part.column("text"), letters)
-            langs = np.array(part.column("lang").to_pylist(), object)
-            for lang in set(langs):
-                mine = np.flatnonzero((langs == lang) & (totals > 0))
-                sums.setdefault(lang, np.zeros(dimensions))
-                sums[lang] += (1 / totals[mine]) @ x[mine].astype(np.float64)
+            for lang, keys, weights in _weights(part.column("text"), part.column("lang").to_pylist()):
+                held.append((lang, keys, weights))
+                n += len(keys)
+            if n > HELD:
+                _bundled(held, letters, sums)
+                held, n = [], 0
+        _bundled(held, letters, sums)
         for lang, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions, pa.string()), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(x)], ["lang", "place", "part"])
 
