@@ -412,6 +412,27 @@ def test_index_covers_what_all_pairs_cover(sides):
     assert found < 0.5 * sum(len(x[0]) for x in every.found)
 
 
+def test_lists_of_a_large_group_are_read_once(monkeypatch):
+    """Members of four templates with words of their own, which nobody else has: a row's candidates are sought once, and only those that may add are compared."""
+    rng = np.random.default_rng(8)
+    span, middle = passages._SPAN, passages.WIDTH - 1
+    matrix = rng.integers(2, 1 << 32, (4, span)).astype(np.uint32)[rng.integers(0, 4, 400)]
+    for i in range(400):
+        for at in rng.integers(0, span, 3):
+            matrix[i, at : at + 5] = rng.integers(2, 1 << 32, len(matrix[i, at : at + 5]))
+    matrix[:, middle] = 1
+    asked, compared, plain, pairs = Counter(), [], passages._Index._hits, passages._Index.compare
+    monkeypatch.setattr(passages._Index, "_hits", lambda self, i, columns: (asked.update([i]), plain(self, i, columns))[1])
+    monkeypatch.setattr(passages._Index, "compare", lambda self, i, j: (compared.append(len(i)), pairs(self, i, j))[1])
+    doc = np.arange(400)
+    index, every = (passages._Index(doc, np.zeros(400, np.int32), np.full(400, 100), matrix, None) for _ in range(2))
+    index.run()
+    i, j = np.nonzero(doc[:, None] > doc[None])
+    pairs(every, i, j)
+    assert every.covered.sum() > 5000 and (index.covered == every.covered).all()
+    assert max(asked.values()) <= 2 and sum(compared) < 15000
+
+
 def test_pipeline_sends_a_text_to_workers_once(spark, monkeypatch):
     import corpus_pipeline
 

@@ -53,6 +53,9 @@ TRIES = 8
 ALIGNED = 10
 #: Pairs compared at once.
 PAIRS = 1 << 14
+#: Rows of a large group, and candidates of theirs, that are settled together.
+ROWS = 1 << 10
+CANDIDATES = 1 << 18
 _BITS = 23
 _SPAN = 2 * WIDTH - 1
 #: Tokens of a run that alike ones may lack, whatever their length: of any one more than these a partner has one.
@@ -386,6 +389,18 @@ def near_pairs(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
     return k, a, b, a + shift[i, a], b + shift[i, b], np.minimum(least, 1)
 
 
+def reaches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether near_pairs may find something, first and last column that it may cover at most) of rows of which no more than `hit` have a counterpart."""
+    sums = np.zeros((len(hit), _SPAN + 1), np.int8)
+    np.cumsum(hit, axis=1, out=sums[:, 1:])
+    runs = hit[:, :WIDTH] & hit[:, WIDTH - 1 :] & (sums[:, WIDTH:] - sums[:, :WIDTH] >= WIDTH - LACKS)
+    i, at = np.arange(len(hit)), np.arange(_SPAN, dtype=np.int8)
+    a, b = runs.argmax(1), 2 * (WIDTH - 1) - runs[:, ::-1].argmax(1)
+    # what goes on with counterparts on either side belongs to it
+    since = np.maximum.accumulate(np.where(hit, np.int8(0), at + np.int8(1)), axis=1)
+    until = np.minimum.accumulate(np.where(hit, np.int8(_SPAN), at)[:, ::-1], axis=1)[:, ::-1] - np.int8(1)
+    return runs.any(1), since[i, a], until[i, b]
+
 
 class _Index:
     """The rows of a large group in order of (doc, tk, c), by their tokens.
@@ -393,7 +408,8 @@ class _Index:
     Only places that no exact run, other window of the document or earlier row covers yet are sought (known: those that exact runs cover). All alike
     runs of two rows hold the min-hash, so what was found for a row lies around it, and a row that adds an open place on one side has a
     token at that place or beyond, at most SHIFT away. It also has one of any LACKS + 1 tokens of the run that it is alike to, so of the rarest
-    of each run. Whichever of the two has the shorter lists names the candidates.
+    of each run. Whichever of the two has the shorter lists names the candidates. A candidate is told once which places it may cover at most;
+    it goes when all of these are covered.
     """
 
     def __init__(self, doc: np.ndarray, tk: np.ndarray, c: np.ndarray, matrix: np.ndarray, side: np.ndarray | None, known: np.ndarray | None = None):
@@ -417,20 +433,25 @@ class _Index:
         self.starts = np.concatenate([[0], np.cumsum(count)])
         order = np.argsort(self.ids.ravel(), kind="stable").astype(np.int32)
         self.row, self.column = order // _SPAN, (order % _SPAN).astype(np.int8)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        # entries of a token's list before a row's own one; those of earlier rows are among them
+        self.earlier = place.reshape(matrix.shape) - self.starts[self.ids].astype(np.int32)
         self.df = np.where(self.real, count.astype(np.int32)[self.ids], np.iinfo(np.int32).max)
         # tokens that an earlier document has; without enough of them in a run, nothing is alike
         alive = self.real & (self.row[self.starts[self.ids]] < self.before[:, None])
-        sums = np.zeros((n, _SPAN + 1), np.int8)
-        np.cumsum(alive, axis=1, out=sums[:, 1:])
-        self.likely = (alive[:, :WIDTH] & alive[:, WIDTH - 1 :] & (sums[:, WIDTH:] - sums[:, :WIDTH] >= WIDTH - LACKS)).any(1)
-        self.rare = np.zeros(matrix.shape, bool)
-        for first in range(WIDTH):
-            rows = np.flatnonzero(self.real[:, first] & self.real[:, first + WIDTH - 1] & self.likely)
-            rarest = np.argpartition(self.df[rows, first : first + WIDTH], LACKS, axis=1)[:, : LACKS + 1] + first
-            self.rare[rows[:, None], rarest] = True
-        self.rare &= alive
+        self.likely, self.least, self.most = reaches(alive)
+        self.alive, self.rare = alive, np.zeros(matrix.shape, bool)
         self.found: list[tuple] = []
 
+    def seek(self, rows: np.ndarray) -> None:
+        """Marks the rarest tokens of the rows' runs."""
+        for first in range(WIDTH):
+            own = rows[self.real[rows, first] & self.real[rows, first + WIDTH - 1]]
+            rarest = np.argpartition(self.df[own, first : first + WIDTH], LACKS, axis=1)[:, : LACKS + 1] + first
+            self.rare[own[:, None], rarest] = True
+        self.rare &= self.alive
+
     def open(self, i: int) -> np.ndarray:
         """Columns of a row that nothing covers yet."""
         return np.flatnonzero(self.real[i] & ~self.covered[self.base[i] : self.base[i] + _SPAN])
@@ -438,18 +459,27 @@ class _Index:
     def unsettled(self) -> np.ndarray:
         """Rows with open columns that an earlier one may cover."""
         rows = np.flatnonzero(self.likely)
-        return rows[(self.real[rows] & ~self.covered[self.base[rows][:, None] + np.arange(_SPAN)]).any(1)]
-
-    def candidates(self, i: int, tried: np.ndarray | None) -> np.ndarray:
-        """Earlier rows that may cover more of row i, likely ones first."""
+        at = np.arange(_SPAN)
+        reached = (at >= self.least[rows, None]) & (at <= self.most[rows, None])
+        return rows[(self.real[rows] & reached & ~self.covered[self.base[rows][:, None] + at]).any(1)]
+
+    def adding(self, i: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of these spans of columns of row i hold an open one."""
+        sums = np.zeros(_SPAN + 1, np.int64)
+        np.cumsum(self.real[i] & ~self.covered[self.base[i] : self.base[i] + _SPAN], out=sums[1:])
+        return sums[high.astype(np.int64) + 1] > sums[low]
+
+    def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Earlier rows that may cover more of row i, likely ones first, and the first and last column that each may cover."""
+        none = (np.zeros(0, np.int64),) * 3
         n, open_, rare = int(self.before[i]), self.open(i), np.flatnonzero(self.rare[i])
         if not n or not len(open_) or not len(rare):
-            return np.zeros(0, np.int64)
+            return none
         left, right = open_[open_ < self.low[i]], open_[open_ > self.high[i]]
         beyond = np.flatnonzero(self.real[i])
         if len(left) + len(right) == len(open_):
             beyond = beyond[(beyond <= left.max(initial=-1)) | (beyond >= right.min(initial=_SPAN))]
-        spans = self.df[i]
+        spans = self.earlier[i]
         columns = min(beyond, rare, key=lambda x: int(spans[x].sum(dtype=np.int64)))
         n_hits = spans[columns].sum(dtype=np.int64)
         if n_hits > 64 * len(self.matrix):  # long lists: all rows
@@ -459,28 +489,25 @@ class _Index:
             may = np.flatnonzero(np.bincount(row, minlength=n))
         if self.side is not None:
             may = may[self.side[may] != self.side[i]]
-        if tried is not None:
-            may = may[~np.isin(may, tried)]
         if not len(may):
-            return may
-        # runs with an open place, and the most that each row can have in common with them
+            return none
+        # what each row may have in common with this one
         centre = self.matrix[i] == self.matrix[i, WIDTH - 1]
-        hit = centre & (np.arange(_SPAN) >= self.first[may, None] - SHIFT) & (np.arange(_SPAN) <= self.last[may, None] + SHIFT)
         row, column = self._hits(i, np.flatnonzero(self.real[i] & ~centre))
+        may = may[np.bincount(row, minlength=n)[may] + centre.sum() >= WIDTH - LACKS]
+        hit = centre & (np.arange(_SPAN) >= self.first[may, None] - SHIFT) & (np.arange(_SPAN) <= self.last[may, None] + SHIFT)
         at = np.full(n, -1)
         at[may] = np.arange(len(may))
         row = at[row]
         hit[row[row >= 0], column[row >= 0]] = True
-        sums = np.zeros((len(may), _SPAN + 1), np.int8)
-        np.cumsum(hit, axis=1, out=sums[:, 1:])
-        equal = np.where(hit[:, :WIDTH] & hit[:, WIDTH - 1 :], sums[:, WIDTH:] - sums[:, :WIDTH], 0)
-        most = equal.max(1)
-        may, most = may[most >= WIDTH - LACKS], most[most >= WIDTH - LACKS]
-        return may[np.argsort(-most, kind="stable")]
+        likely, low, high = reaches(hit)
+        kept = np.flatnonzero(likely & self.adding(i, low, high))
+        kept = kept[np.argsort(-hit[kept].sum(1), kind="stable")]
+        return may[kept], low[kept], high[kept]
 
     def _hits(self, i: int, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(earlier row, column) where these columns' tokens of row i are, at most SHIFT away."""
-        size = self.df[i, columns].astype(np.int64)
+        size = self.earlier[i, columns].astype(np.int64)
         at = np.repeat(self.starts[self.ids[i, columns]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         row, column = self.row[at], np.repeat(columns, size)
         near = (row < self.before[i]) & (np.abs(self.column[at] - column) <= SHIFT)
@@ -499,38 +526,43 @@ class _Index:
             size = b - a + 1
             self.covered[np.repeat(self.base[p] + a - (np.cumsum(size) - size), size) + np.arange(size.sum())] = True
 
+    def settle(self, waiting: list[tuple]) -> None:
+        """Compares rows with their candidates, few at first, as long as these may add something."""
+        quota = 1
+        while waiting:
+            pairs, more = [], []
+            for i, may, low, high in waiting:
+                if quota > 1:
+                    adds = self.adding(i, low, high)
+                    may, low, high = may[adds], low[adds], high[adds]
+                if len(may):
+                    pairs.append((i, may[:quota]))
+                if len(may) > quota:
+                    more.append((i, may[quota:], low[quota:], high[quota:]))
+            if pairs:
+                self.compare(np.repeat([i for i, _ in pairs], [len(j) for _, j in pairs]), np.concatenate([j for _, j in pairs]))
+            waiting, quota = more, quota * 4
+
     def run(self) -> list[tuple]:
         """(row, earlier row, and what near_pairs says of them) of pairs that cover all that all pairs do."""
         left = self.unsettled()
-        tried: dict[int, list[np.ndarray]] = {}
         for k in range(TRIES if len(left) else 0):
             j = (common.mix64(left * TRIES + k) % self.before[left].astype(np.uint64)).astype(np.int64) if k else np.zeros(len(left), np.int64)
             real = np.full(len(left), True) if self.side is None else self.side[left] != self.side[j]
             self.compare(left[real], j[real])
             left = left[~self.covered[self.base[left] + WIDTH - 1]]
-        left, quota = self.unsettled().tolist(), 1
-        while left:
-            more, pairs, waiting = [], [], 0
-
-            def settle() -> None:
-                if pairs:
-                    self.compare(np.repeat([i for i, _ in pairs], [len(j) for _, j in pairs]), np.concatenate([j for _, j in pairs]))
-                    pairs.clear()
-
-            for i in left:
-                found = self.candidates(i, np.concatenate(tried[i]) if i in tried else None)
-                if len(found) > quota:
-                    found = found[:quota]
-                    tried.setdefault(i, []).append(found)
-                    more.append(i)
-                if len(found):
-                    pairs.append((i, found))
-                    waiting += len(found)
-                if waiting >= PAIRS:
-                    settle()
-                    waiting = 0
-            settle()
-            left, quota = more, quota * 4
+        left = self.unsettled()
+        self.seek(left)
+        waiting, n = [], 0
+        for i in left.tolist():
+            found = self.candidates(i)
+            if len(found[0]):
+                waiting.append((i, *found))
+                n += len(found[0])
+            if len(waiting) >= ROWS or n >= CANDIDATES:
+                self.settle(waiting)
+                waiting, n = [], 0
+        self.settle(waiting)
         return self.found
 
 
