@@ -446,6 +446,35 @@ def test_pipeline_sends_a_text_to_workers_once(spark, monkeypatch):
     assert rows == [["doc_id", "extra", "n_chars"]]
 
 
+def test_cutting_moves_a_row_once(spark):
+    """One join deals rows, those whose id is marked; rows with a mark by chance, null texts and counts stay as they are."""
+    word = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
+    chance = 2 + (1 << 23)  # the low bits of 2
+    rows = [(1, word(1), 7), (2, word(1) + " own", 7), (chance, "kept  as it\tis ", 7), (chance, None, 7), (chance, "", 7), (None, word(1), 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # no table counts as small enough to be sent whole
+    try:
+        out = passages.remove(df)
+        joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], (2, "own", 3), *rows[2:]], key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(joins) == 1
+
+
+def test_representatives_move_rows_of_links_alone(spark, monkeypatch):
+    """Rows that nothing is linked with are not joined; rows with a mark by chance stay."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    chance = 2 + (1 << 23)
+    rows = [(1, a), (2, a), (chance, b), (3, "one two"), (4, "three"), (4, "three"), (None, "four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, plain = [], common.marked
+    monkeypatch.setattr(common, "marked", lambda rows, ids, *x: (seen.extend(r["__id"] for r in ids.collect()), plain(rows, ids, *x))[1])
+    found = sorted(map(tuple, setjoin.representatives(df, 5, (80, 100)).collect()), key=str)
+    assert found == sorted([(1, a), (chance, b), (3, "one two"), (4, "three"), (None, "four")], key=str)
+    assert sorted(seen) == [2, 4]
+
+
 def test_different_texts_under_one_id(spark):
     word = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
     rows = [(1, word(1)), (2, word(2)), (2, word(1) + " own"), (2, word(1) + " own"), (3, word(2))]

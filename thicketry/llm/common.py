@@ -71,6 +71,20 @@ def free(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def marked(rows: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """rows, of which __id is a column, with a column __marked: true where `ids` has that __id, and for a few others; false for null.
+
+    Marks are bits for the ids' low bits, made in the cluster and joined where the rows lie, 32 to a number: 2**18 numbers at most. So rows
+    without a mark need not move to learn that nothing is to be done with them.
+    """
+    mask = (1 << bits) - 1
+    low = ids.where("__id is not null").select(F.col("__id").bitwiseAND(mask).alias("low"))
+    words = low.groupBy(F.shiftright("low", 5).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 31 as int))")).alias("__marks"))
+    words = written(words, "marks")
+    met = rows.withColumn("__word", F.shiftright(F.col("__id").bitwiseAND(mask), 5)).join(F.broadcast(words), "__word", "left")
+    return met.select(*rows.columns, F.expr("coalesce((shiftright(__marks, cast(__id & 31 as int)) & 1) = 1, false)").alias("__marked"))
+
+
 def in_order(texts: DataFrame) -> DataFrame:
     """Rows (doc_id, text) in ascending order of the id over all partitions; null ids come first.
 

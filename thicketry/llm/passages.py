@@ -804,7 +804,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
             start, stop = words.word_spans(data, ends, words.SPACED[data]) if len(data) else (np.zeros(0, np.int64),) * 2
             first = np.searchsorted(start, ends)
             raw, out = data.tobytes(), []
-            for k, spans in enumerate(part.column("__spans").to_pylist()):
+            there, listed = part.column("__text").is_valid().to_pylist(), part.column("__spans").to_pylist()
+            for k, spans in enumerate(listed):
+                if spans is None:  # marked by chance
+                    out.append(raw[ends[k] : ends[k + 1]].decode("utf-8", "surrogatepass") if there[k] else None)
+                    continue
                 pieces, at = [], int(ends[k])
                 for s in spans:
                     a, b = first[k] + s["start"], first[k] + s["start"] + s["n_words"] - 1
@@ -813,22 +817,24 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
                 pieces.append(raw[at : int(ends[k + 1])])
                 kept = [p.strip() for p in pieces if p.strip()]
                 out.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(out, pa.string())], ["__row", "__text"])
+            yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(out, pa.string()), pa.array([x is not None for x in listed])], ["__row", "__text", "__cut"])
 
     text = F.col(f"`{text_col}`").cast("string")
     packed = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.hash(F.coalesce(text, F.lit(""))).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text.alias("__text"))
     keys = ["__id", "__key"]
-    whole = packed.join(spans, keys, "left_anti").select("__row.*")
-    # the text goes to the workers once, not in the row as well
-    touched = packed.join(spans, keys).select(F.col("__row").dropFields(f"`{text_col}`").alias("__row"), "__text", "__spans")
+    # most rows stay where they lie; of the others the text moves once, not in the row as well
+    packed = common.marked(packed, spans.select("__id"))
+    whole = packed.where("not __marked").select("__row.*")
+    touched = packed.where("__marked").select(*keys, F.col("__row").dropFields(f"`{text_col}`").alias("__row"), "__text")
+    touched = touched.join(spans, keys, "left").select("__row", "__text", "__spans")
     row = touched.schema["__row"].dataType.simpleString()
-    done = touched.mapInArrow(cut, f"__row {row}, __text string").where(F.length(F.trim("__text")) > 0)
+    done = touched.mapInArrow(cut, f"__row {row}, __text string, __cut boolean").where(~F.col("__cut") | (F.length(F.trim("__text")) > 0))
     kept = []
     for c in docs.columns:
         if c == text_col:
             kept.append(F.col("__text").alias(c))
         elif c == count_col:
-            kept.append(F.length("__text").cast(docs.schema[c].dataType).alias(c))
+            kept.append(F.when(F.col("__cut"), F.length("__text").cast(docs.schema[c].dataType)).otherwise(F.col(f"__row.`{c}`")).alias(c))
         else:
             kept.append(F.col(f"__row.`{c}`").alias(c))
     return whole.unionByName(done.select(*kept))

@@ -222,7 +222,10 @@ def _keys(docs: DataFrame, marks: np.ndarray, size: int, t: tuple[int, int]) ->
     rarest = Window.partitionBy("node").orderBy("df", "shingle")  # a node may come from several tasks: equal rows have one rank
     ranked = rows.join(df.select("shingle", "df"), "shingle").withColumn("rank", F.dense_rank().over(rarest))
     known = ranked.withColumn("known", F.max("rank").over(Window.partitionBy("node")))
-    return known.where(f"rank <= known + 1 - ({t[0]}L * size + {t[1] - 1}) div {t[1]}").select("shingle", "node", "size")
+    keys = common.written(known.where(f"rank <= known + 1 - ({t[0]}L * size + {t[1] - 1}) div {t[1]}").select("shingle", "node", "size"), "join-keys")
+    common.discard(rows)
+    common.free(docs.sparkSession)
+    return keys
 
 
 def _class(size: Column, t: tuple[int, int]) -> Column:
@@ -232,7 +235,7 @@ def _class(size: Column, t: tuple[int, int]) -> Column:
 
 def _edges(keys: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Edges (a, b) that hold every candidate cluster together."""
-    rows = common.written(keys.withColumn("class", _class(F.col("size"), t)), "join-keys")
+    rows = keys.withColumn("class", _class(F.col("size"), t))
     group = ["shingle", "class"]
     heads = rows.groupBy(*group).agg(F.min("node").alias("head"), F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n"))
     heads = common.written(heads, "join-heads")
@@ -331,8 +334,12 @@ def _joined(docs: DataFrame, size: int, threshold: tuple[int, int], limit: int,
     nodes = common.written(_profile(texts, size), "profile")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     marks = _shared(texts, size, total)
-    clusters = components(_edges(_keys(texts, marks, size, threshold), threshold))
+    common.free(docs.sparkSession)
+    keys = _keys(texts, marks, size, threshold)
+    clusters = components(_edges(keys, threshold))
     clusters = common.written(clusters, "clusters")
+    common.discard(keys)
+    common.free(docs.sparkSession)
     linked = components(_links(texts, clusters, nodes, size, threshold, limit))
     some = nodes.where("n_shingles > 0").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     some = common.written(some, "nodes")
@@ -358,15 +365,21 @@ def representatives(docs: DataFrame, size: int, threshold: tuple[int, int], limi
     Documents without shingles or without an id stay. Of equal rows (id and text) one stays. Different texts under one id
     are different documents: each stays unless its own component has another one. An empty table gives no rows.
     """
-    rows = _joined(docs, size, threshold, limit, id_col, text_col).where("doc_id = component_id")
+    every = common.written(_joined(docs, size, threshold, limit, id_col, text_col).select("doc_id", "tk", "component", "component_id"), "joined")
+    common.free(docs.sparkSession)
+    # a document stays where it lies if its id is its own and no smaller one is linked with it
+    alone = (F.count("*") == 1) & F.min(F.col("doc_id") == F.col("component_id"))
+    others = every.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(alone.alias("alone")).where("not alone")
+    rows = every.where("doc_id = component_id")
     first = rows.where("component is not null").groupBy("component", F.col("doc_id").alias("__id")).agg(F.min("tk").alias("__key")).select("__id", "__key")
     first = first.unionByName(rows.where("component is null").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__key"))).distinct()
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     keys = ["__id", "__key"]
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of theirs clashes
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), key.alias("__key"), whole.alias("__row"))
-    kept = keyed.join(first, keys, "left_semi").dropDuplicates(keys)
-    return kept.unionByName(keyed.where("__id is null")).select("__row.*")
+    keyed = common.marked(keyed, others)
+    kept = keyed.where("__marked").join(first, keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(keyed.where("not __marked")).select("__row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
