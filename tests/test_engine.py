@@ -294,6 +294,67 @@ def test_command_line(spark, folder, tmp_path, capsys):
         run("find", out, "--search-regex", "x", "--searches-json", "y")
 
 
+def shuffled(spark, work):
+    """Rows that all stages of work() wrote to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    records = lambda: sum(x.shuffleWriteRecords() for x in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, none, None)))
+    settle = lambda: sc._jsc.sc().listenerBus().waitUntilEmpty()
+    settle()
+    before = records()
+    work()
+    settle()
+    return records() - before
+
+
+def test_leaves_are_written_once_and_combined_before_they_move(spark, monkeypatch):
+    from thicketry.plans.materialize import materialized
+    from thicketry.sources import generated as G
+
+    written = []
+
+    def counted(df, label, by=None):
+        made = materialized(df, label, by)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(R, "materialized", counted)
+    moved = shuffled(spark, lambda: R.build(G.entries(spark, 3000, 1, dirs=3, depth=2)).where("depth = 0").collect())
+    assert sum(written) == 3000 + 13 and moved < 1000
+
+
+def test_orders_move_once_to_their_customers(spark):
+    from thicketry.sources import tables
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = tables.read(spark, "/root/testdata/sf0.001", "orders").count()
+        moved = shuffled(spark, lambda: tables.commerce(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert orders <= moved < 2 * orders
+
+
+def test_uneven_trees(spark):
+    """Leaves and directories at one depth, directories with and without entries of their own, times before 1970, a file with something below it."""
+    entry = lambda path, kind, mtime, size: (path, kind, f"h {path}", mtime, size, None, None)
+    given = [entry("r/a/b/c", "F", -9, 10), entry("r/a/x", "F", -7, 1), entry("r/d", "D", -5, 100), entry("r/d/e/f", "E", 3, 3), entry("r/g", "F", -8, 20), entry("r/g/h", "F", -2, 2), entry("r/i", "D", 4, 50)]
+    made = R.build(spark.createDataFrame(given, "path string, type string, hash string, mtime long, own_bytes long, link_target string, err_msg string"))
+    none = spark.range(1).select(M.children_digest(F.array().cast("array<string>"))).first()[0]
+    over = lambda *hashes: spark.range(1).select(M.children_digest(F.array(*map(F.lit, hashes)))).first()[0]
+    b, e = over("h r/a/b/c"), over("ERROR")
+    a, d = over(b, "h r/a/x"), over(e)
+    assert {tuple(row) for row in made.select("path", "parent", "name", "depth", "type", "hash", "mtime", "nbytes", "nnodes").collect()} == {
+        ("r", None, "r", 0, "D", over(a, d, "h r/g", none), 4, 16567, 11),
+        ("r/a", "r", "a", 1, "D", a, -7, 8203, 4), ("r/a/b", "r/a", "b", 2, "D", b, -9, 4106, 2), ("r/a/b/c", "r/a/b", "c", 3, "F", "h r/a/b/c", -9, 10, 1), ("r/a/x", "r/a", "x", 2, "F", "h r/a/x", -7, 1, 1),
+        ("r/d", "r", "d", 1, "D", d, 0, 4196, 3), ("r/d/e", "r/d", "e", 2, "D", e, 0, 4096, 2), ("r/d/e/f", "r/d/e", "f", 3, "E", "ERROR", 0, 0, 1),
+        ("r/g", "r", "g", 1, "F", "h r/g", -2, 22, 2), ("r/g/h", "r/g", "h", 2, "F", "h r/g/h", -2, 2, 1), ("r/i", "r", "i", 1, "D", none, 4, 50, 1),
+    }
+    empty = R.build(made.where("false").select("path", "type", "hash", "mtime", F.col("nbytes").alias("own_bytes"), "link_target", "err_msg"))
+    assert empty.columns == M.NODE_COLUMNS and not empty.take(1)
+
+
 def test_generated_rows(spark):
     from thicketry.sources import generated as G
 

@@ -67,8 +67,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    path = F.concat_ws("/", F.lit("world"), "r_name", "n_name", "c_name", F.concat(F.lit("o"), F.col("o_orderkey")))
+    # customers get their folders first: orders, of which there are more, move once, by a key of many values
+    places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    folders = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws("/", F.lit("world"), "r_name", "n_name", "c_name").alias("folder"))
+    o = read(spark, sf_dir, "orders").join(folders, F.col("o_custkey") == F.col("c_custkey"))
+    path = F.concat_ws("/", "folder", F.concat(F.lit("o"), F.col("o_orderkey")))
     content = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
     return _leaf(o, path, content, F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000000))
 
